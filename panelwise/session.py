@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Skew joins are split at run time even where that costs one more shuffle: a single hot key may
 # hold a third of a table. Small partitions are merged after each shuffle.
@@ -39,22 +39,33 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
+_test_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can read: the cluster's ``spark.checkpoint.dir``.
 
-    Only where a session names none, as in tests, is one made.
+    Only a local session that names none, as in tests, gets one made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="panelwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _test_folders:
+        _test_folders[context.applicationId] = tempfile.mkdtemp(prefix="panelwise-")
+    return _test_folders[context.applicationId]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path for one written intermediate table, never used before."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows once and read them back: later jobs start from the files, which survive a
+    lost executor, and not from the whole lineage."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,0 +1,6 @@
+"""No streaming operator is offered.
+
+The steps of ``operators.features``, ``operators.targets`` and the flags and statistics of
+``operators.panel`` look at one row at a time, so they can be applied to a streaming DataFrame as
+they are.
+"""
