@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwise.functions.hashing import salt_constants
 from panelwise.operators.panel import pivot_panel
 from panelwise.options import Thresholds
 from panelwise.session import configure
@@ -169,11 +170,10 @@ def labelled(t: Tables) -> DataFrame:
 
 
 def mix_sql(key: str, salt: int = 0) -> str:
+    factor, offset = salt_constants(salt)
     key = f"CAST({key} AS BIGINT)"
-    x = f"(({key} & 2147483647) * 2654435761 + ({key} >> 31) * 40503 + {salt * 668265263}) % 4294967296"
-    for _ in range(2):
-        x = f"(xor({x}, ({x}) >> 16) * 73244475) % 4294967296"
-    return f"xor({x}, ({x}) >> 16)"
+    x = f"(({key} & 2147483647) * {factor} + ({key} >> 31) * 40503 + {offset}) % 4294967296"
+    return f"((xor({x}, ({x}) >> 15) * 2053222611) % 4294967296)"
 
 
 def uniform_sql(key: str, salt: int = 0) -> str:

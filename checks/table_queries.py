@@ -421,9 +421,10 @@ def _clip_sql(value: str, low: float, high: float) -> str:
 
 def _panel_sql(code: str, salt: int) -> str:
     k = "c_custkey"
+    draw = _exponential_sql(k, 1.0, salt + 1)
     value = (
-        f"CASE WHEN {uniform_sql(k, salt)} < 0.3 / (1.0 + exp(3.5 - lt)) THEN {_exponential_sql(k, 2.0, salt + 1)} + 0.35 "
-        f"ELSE {_exponential_sql(k, 0.1, salt + 2)} END"
+        f"CASE WHEN {uniform_sql(k, salt)} < 0.3 / (1.0 + exp(3.5 - lt)) THEN {draw} * 2.0 + 0.35 "
+        f"ELSE {draw} * 0.1 END"
     )
     return r6(_clip_sql(value, 0.01, 100.0), f'"{code}"')
 
@@ -440,7 +441,7 @@ _K = "c_custkey"
     CAST({_choice_sql(_K, [1, 2, 3, 4, 5], 5)} AS INTEGER) AS "DMDEDUC2",
     {r6(_clip_sql(_exponential_sql(_K, 2.0, 6), 0.0, 5.0), '"INDFMPIR"')},
     {r6(_clip_sql('exp(lt)', 2.0, 5000.0), '"LBXIGE"')},
-    {', '.join(_panel_sql(code, 100 + 3 * i) for i, code in enumerate(ANALYTE_CODES))} FROM base""",
+    {', '.join(_panel_sql(code, 100 + 2 * i) for i, code in enumerate(ANALYTE_CODES))} FROM base""",
 )
 def _(t: Tables):
     return survey_from_ids(t.customer, "c_custkey")
@@ -448,7 +449,7 @@ def _(t: Tables):
 
 @query(
     "synthetic_trial",
-    f"""SELECT 'SUB' || lpad(CAST(c_custkey AS VARCHAR), greatest(4, length(CAST(c_custkey AS VARCHAR))), '0') AS subject_id,
+    f"""SELECT 'SUB' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(4, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS subject_id,
     {_choice_sql(_K, ['observational_food', 'peanut_sublingual', 'peanut_epicutaneous'], 201)} AS study,
     {r6(_clip_sql(_normal_sql(_K, 30.0, 15.0, 202), 5.0, 75.0), 'age')},
     {_choice_sql(_K, ['Male', 'Female'], 204)} AS gender, {r6(f'exp({_normal_sql(_K, 4.0, 1.0, 205)})', 'baseline_ige')},
@@ -542,9 +543,25 @@ def _(t: Tables):
     return quality.constraint_checks(tables, _RULES)
 
 
-@query("table_fingerprint")
+@query(
+    "table_fingerprint",
+    """SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_columns, CAST(1 AS INTEGER) AS order_free,
+    CAST(1 AS INTEGER) AS notices_change FROM lineitem""",
+)
 def _(t: Tables):
-    return quality.table_fingerprint(t.lineitem)
+    """The same for any order of the rows and columns, another one after a single changed cell."""
+    plain = quality.table_fingerprint(t.lineitem)
+    shuffled = t.lineitem.repartition(7, "l_partkey").sortWithinPartitions(F.desc("l_tax"))
+    first = t.lineitem.agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("k")).first()["k"]
+    at_first = (F.col("l_orderkey") == first[0]) & (F.col("l_linenumber") == first[1]) & (F.col("l_partkey") == first[2])
+    changed = t.lineitem.withColumn("l_tax", F.when(at_first, F.col("l_tax") + 1).otherwise(F.col("l_tax")))
+    marks = [quality.table_fingerprint(df).first()["fingerprint"] for df in (shuffled, changed)]
+    return plain.select(
+        "n_rows",
+        "n_columns",
+        (F.col("fingerprint") == marks[0]).cast("int").alias("order_free"),
+        (F.col("fingerprint") != marks[1]).cast("int").alias("notices_change"),
+    )
 
 
 @query(

@@ -6,28 +6,36 @@ does not. The arithmetic is plain BIGINT, so the same rule can be written in any
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = 1 << 32
 
-# Multipliers of the integer mix.
-_FIRST = 2654435761
+_LOW_BITS = (1 << 31) - 1
 _HIGH = 40503
-_SALT = 668265263
-_ROUND = 73244475
+_LAST = 2053222611
+
+
+def salt_constants(salt: int) -> tuple[int, int]:
+    """An odd multiplier in [2**30, 2**31) and an offset in [0, 2**32) for each salt."""
+    digest = hashlib.md5(str(salt).encode()).digest()
+    factor = (1 << 30) | (int.from_bytes(digest[:4], "big") >> 2) | 1
+    return factor, int.from_bytes(digest[4:8], "big")
 
 
 def mix(key: Column, salt: int = 0) -> Column:
-    """A whole number in [0, 2**32) from a BIGINT key."""
+    """A whole number in [0, 2**32) from a BIGINT key: multiply, fold the high bits, multiply.
+
+    The key appears in few places, so that dozens of such columns still fit one generated method.
+    """
+    factor, offset = salt_constants(salt)
     key = key.cast("bigint")
-    low = key.bitwiseAND(F.lit((1 << 31) - 1))
+    low = key.bitwiseAND(F.lit(_LOW_BITS))
     high = F.shiftrightunsigned(key, 31)
-    x = (low * F.lit(_FIRST) + high * F.lit(_HIGH) + F.lit(salt * _SALT)) % F.lit(SPAN)
-    for _ in range(2):
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-        x = (x * F.lit(_ROUND)) % F.lit(SPAN)
-    return x.bitwiseXOR(F.shiftright(x, 16))
+    x = (low * F.lit(factor) + high * F.lit(_HIGH) + F.lit(offset)) % F.lit(SPAN)
+    return (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(_LAST)) % F.lit(SPAN)
 
 
 def uniform(key: Column, salt: int = 0) -> Column:

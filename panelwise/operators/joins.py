@@ -19,16 +19,21 @@ SALTS = 64
 
 
 def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
-    """Keys with at least ``share`` of the rows, from one pass with a bounded sketch per task.
+    """Keys with at least ``share`` of the rows (None if nulls have it), from one pass with a
+    bounded sketch per task.
 
     Only balance depends on the estimate, never a result. At most 1/share keys can qualify.
     """
-    row = df.agg(
-        F.count(key).alias("n"), F.approx_top_k(key, F.lit(200), F.lit(20_000)).alias("top")
+    row = df.select(F.col(key).alias("k")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("k").alias("filled"),
+        F.expr("approx_top_k(k, 200, 20000)").alias("top"),
     ).first()
     if row["n"] < min_rows:
         return []
-    return [item["item"] for item in row["top"] if item["count"] >= share * row["n"]]
+    limit = share * row["n"]
+    heavy = [i["item"] for i in row["top"] or [] if i["item"] is not None and i["count"] >= limit]
+    return heavy + ([None] if row["n"] - row["filled"] >= limit else [])
 
 
 def spread_left_join(
@@ -37,13 +42,15 @@ def spread_left_join(
     """Left join in which each heavy key is cut into ``salts`` parts.
 
     Left rows of a heavy key get a part number from their content; its right rows are repeated
-    once per part. Other keys have one part, so nothing else grows.
+    once per part. Other keys have one part, so nothing else grows. Null keys match nothing, so
+    their left rows are only spread.
     """
     if not heavy:
         return left.join(right, key, "left")
-    is_heavy = F.col(key).isin(list(heavy))
+    values = [k for k in heavy if k is not None]
+    is_heavy = F.col(key).isin(values) if values else F.lit(False)
     part = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    cut = left.select("*", F.when(is_heavy, part).otherwise(F.lit(0)).alias("__part"))
+    cut = left.select("*", F.when(F.col(key).isNull() | is_heavy, part).otherwise(F.lit(0)).alias("__part"))
     parts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.select("*", F.explode(parts).alias("__part"))
     return cut.join(repeated, [key, "__part"], "left").drop("__part")

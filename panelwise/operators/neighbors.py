@@ -64,14 +64,14 @@ def nearest_neighbors(
         .drop("copy")
     )
     n = pts.count()
+    if n <= block_rows:
+        return _ranked(_in_one_block(asked, kept, k), key, k)
     wanted = min(MAX_PIVOTS, max(1, math.ceil(n / block_rows)))
     pivots = [
         r["v"]
         for r in pts.orderBy(F.xxhash64("id"), "id").select("v", "id").limit(4 * wanted).collect()
     ]
     pivots = np.unique(np.array(pivots, dtype=np.float64).reshape(len(pivots), -1), axis=0)[:wanted]
-    if len(pivots) == 0:
-        return spark.createDataFrame([], f"{key} bigint, neighbor bigint, distance double, neighbor_rank int")
     shared = spark.sparkContext.broadcast(pivots)
 
     def place(batches):
@@ -139,31 +139,46 @@ def nearest_neighbors(
     left = blocks(asked_placed.drop("far"), ask_blocks, have_blocks, "a", "b")
     right = blocks(sent, have_blocks, ask_blocks, "b", "a")
 
-    def compare(queries_pdf: pd.DataFrame, rows_pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries_pdf) or not len(rows_pdf):
+    by = ["cell", "a", "b"]
+    pairs = left.groupBy(*by).cogroup(right.groupBy(*by))
+    return _ranked(pairs.applyInPandas(_compare(k), _CANDIDATES), key, k)
+
+
+_CANDIDATES = "id bigint, other bigint, d2 double"
+
+
+def _in_one_block(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """All rows fit one block: no cells are needed."""
+    one = F.lit(0).alias("cell")
+    left, right = asked.select("id", "v", one), rows.select("id", "v", one)
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(_compare(k), _CANDIDATES)
+
+
+def _compare(k: int):
+    """The k best candidates of each query within one pair of blocks."""
+
+    def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
             return pd.DataFrame({"id": [], "other": [], "d2": []})
-        order = np.argsort(rows_pdf["id"].to_numpy(), kind="stable")
-        other = rows_pdf["id"].to_numpy()[order]
-        have = _matrix(rows_pdf["v"])[order]
-        ids = queries_pdf["id"].to_numpy()
+        order = np.argsort(rows["id"].to_numpy(), kind="stable")
+        other = rows["id"].to_numpy()[order]
+        have = _matrix(rows["v"])[order]
+        ids = queries["id"].to_numpy()
         out = []
-        for start, d in _distances(_matrix(queries_pdf["v"]), have):
+        for start, d in _distances(_matrix(queries["v"]), have):
             own = ids[start : start + len(d)]
             d[own[:, None] == other[None, :]] = np.inf
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
             values = np.take_along_axis(d, best, axis=1)
             real = np.isfinite(values)
-            out.append(
-                pd.DataFrame(
-                    {"id": np.repeat(own, real.sum(axis=1)), "other": other[best][real], "d2": values[real]}
-                )
-            )
+            found = {"id": np.repeat(own, real.sum(axis=1)), "other": other[best][real], "d2": values[real]}
+            out.append(pd.DataFrame(found))
         return pd.concat(out, ignore_index=True)
 
-    by = ["cell", "a", "b"]
-    candidates = (
-        left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "id bigint, other bigint, d2 double")
-    )
+    return compare
+
+
+def _ranked(candidates: DataFrame, key: str, k: int) -> DataFrame:
     rank = F.row_number().over(W.Window.partitionBy("id").orderBy("d2", "other"))
     return (
         candidates.select("*", rank.alias("neighbor_rank"))

@@ -108,7 +108,7 @@ def _in_blocks(
         if None in sizes:
             raise ValueError(f"{group} has missing values; keep rows with a value first")
         ranks = {g: cuts(n) for g, n in sizes.items()}
-        limits = hash_thresholds(hashed, group, "__mixed", key, ranks)
+        limits = hash_thresholds(hashed, group, "__mixed", key, ranks, sizes)
         return hashed.select(*df.columns, hash_block(hashed, group, "__mixed", key, limits).alias(out))
     placed = position_in_group(hashed, group, "__mixed", key, "__place")
     sizes = placed.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
@@ -224,8 +224,9 @@ def model_input(
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in DataFrame")
     columns = list(features) if features is not None else feature_columns(df, target, drop_leaky)
+    columns = [c for c in columns if c not in (key, target)]
     known = df.where(F.col(target).isNotNull()).select(
-        key, F.col(target), *[F.col(c).cast("double").alias(c) for c in columns if c != target]
+        key, F.col(target), *[F.col(c).cast("double").alias(c) for c in columns]
     )
     classes = None
     if classification:

@@ -228,13 +228,15 @@ def dense_index(df: DataFrame, key: str, out: str = "row_index") -> tuple[DataFr
     n = df.count()
     splits = range_splits(df.select(key), key, _ranges_for(n))
     ranged = with_range(df, key, splits, "__range")
+    place = F.row_number().over(W.Window.partitionBy("__range").orderBy(key))
+    if not splits:
+        return ranged.select(*df.columns, (place - 1).cast("bigint").alias(out)), n
     sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
     offsets, total = [], 0
     for i in range(len(splits) + 1):
         offsets.append(total)
         total += sizes.get(i, 0)
     start = F.get(F.lit(offsets).cast("array<bigint>"), F.col("__range"))
-    place = F.row_number().over(W.Window.partitionBy("__range").orderBy(key))
     return ranged.select(*df.columns, (start + place - 1).alias(out)), n
 
 
@@ -284,7 +286,12 @@ _PARTS = 1 << 12
 
 
 def hash_thresholds(
-    df: DataFrame, group: str, mixed: str, key: str, ranks: dict[object, list[int]]
+    df: DataFrame,
+    group: str,
+    mixed: str,
+    key: str,
+    ranks: dict[object, list[int]],
+    sizes: dict[object, int],
 ) -> dict[object, list[tuple[int, object] | None]]:
     """For each group and wanted rank r, the (hash, key) of its r-th row in (hash, key) order.
 
@@ -294,7 +301,7 @@ def hash_thresholds(
     """
     spark = df.sparkSession
     slots = [(g, j, r) for g, wanted in ranks.items() for j, r in enumerate(wanted)]
-    state = {i: [0, SPAN, r, None] for i, (g, _, r) in enumerate(slots) if r > 0}
+    state = {i: [0, SPAN, r] for i, (_, _, r) in enumerate(slots) if r > 0}
     rows = df.select(F.col(group).alias("g"), F.col(mixed).alias("u"), F.col(key).alias("k"))
     group_type = rows.schema["g"].dataType.simpleString()
 
@@ -306,7 +313,7 @@ def hash_thresholds(
         near = rows.join(F.broadcast(table), "g")
         return near.where((F.col("u") >= F.col("start")) & (F.col("u") < F.col("start") + F.col("width")))
 
-    todo = list(state)
+    todo = [i for i in state if sizes[slots[i][0]] > BRACKET_ROWS]
     while todo:
         step = F.greatest(F.lit(1), F.floor(F.col("width") / F.lit(_PARTS)))
         part = F.floor((F.col("u") - F.col("start")) / step)
@@ -330,7 +337,6 @@ def hash_thresholds(
             slot[0] += hit["part"] * size
             slot[1] = size
             slot[2] -= hit["upto"] - hit["n"]
-            slot[3] = hit["n"]
             if hit["n"] > BRACKET_ROWS and size > 1:
                 unfinished.append(hit["slot"])
         todo = unfinished

@@ -22,9 +22,11 @@ def survey_from_ids(ids: DataFrame, key: str) -> DataFrame:
 
     A panel value is high with a chance that grows with the total.
     """
-    k = F.col(key)
+    ids = ids.select(F.col(key).cast("bigint").alias("id"))
+    k = F.col("id")
     base = ids.select(
-        k.cast("bigint").alias(KEY),
+        "id",
+        k.alias(KEY),
         choice(k, [1, 2], 1).alias("RIAGENDR"),
         clip(normal(k, 45.0, 20.0, 2), 2.0, 85.0).alias("RIDAGEYR"),
         choice(k, [1, 2, 3, 4, 5], 4).alias("RIDRETH1"),
@@ -33,21 +35,24 @@ def survey_from_ids(ids: DataFrame, key: str) -> DataFrame:
         normal(k, 3.5, 1.2, 7).alias("log_total"),
     )
     log_total = F.col("log_total")
-    chance = F.lit(0.3) / (F.lit(1.0) + F.exp(F.lit(3.5) - log_total))
-    panel = [_panel_value(chance, 100 + 3 * i).alias(code) for i, code in enumerate(ANALYTE_CODES)]
-    return base.select(
-        *[c for c in base.columns if c != "log_total"],
+    draws = []
+    for i, code in enumerate(ANALYTE_CODES):
+        draws += [uniform(k, 100 + 2 * i).alias(f"{code}_u"), exponential(k, 1.0, 101 + 2 * i).alias(f"{code}_e")]
+    drawn = base.select(
+        "*", (F.lit(0.3) / (F.lit(1.0) + F.exp(F.lit(3.5) - log_total))).alias("chance"), *draws
+    )
+    return drawn.select(
+        *[c for c in base.columns if c not in ("log_total", "id")],
         clip(F.exp(log_total), 2.0, 5000.0).alias(TOTAL_CODE),
-        *panel,
+        *[_panel_value(code).alias(code) for code in ANALYTE_CODES],
     )
 
 
-def _panel_value(chance: Column, salt: int) -> Column:
-    k = F.col(KEY)
-    high = exponential(k, 2.0, salt + 1) + F.lit(0.35)
-    return clip(
-        F.when(uniform(k, salt) < chance, high).otherwise(exponential(k, 0.1, salt + 2)), 0.01, 100.0
-    )
+def _panel_value(code: str) -> Column:
+    draw = F.col(f"{code}_e")
+    high = draw * F.lit(2.0) + F.lit(0.35)
+    low = draw * F.lit(0.1)
+    return clip(F.when(F.col(f"{code}_u") < F.col("chance"), high).otherwise(low), 0.01, 100.0)
 
 
 def synthetic_survey(spark: SparkSession, n: int = 1000) -> DataFrame:
