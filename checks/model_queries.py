@@ -565,7 +565,7 @@ def _full_sql() -> str:
     return (
         f"WITH {derived}, filled AS (SELECT \"SEQN\", {', '.join(filled)} FROM derived) "
         f"SELECT \"SEQN\", {', '.join(FULL_TEXTS)}, "
-        + ", ".join(r6(f'"{c}"' if not c.startswith("poly_") and c != "age_cubed" else f'"{c}" / (100000 * pi())', f'"{c}"') for c in numbers)
+        + ", ".join(r6(f'"{c}" / (100000 * pi())' if c in LARGE else f'"{c}"', f'"{c}"') for c in numbers)
         + ", "
         + ", ".join(r6(f"ln(1 + {v})", k) for k, v in logs.items())
         + f", {CLASS_SQL.format(chr(34) + 'Total_IgE' + chr(34))} AS ige_class, "
@@ -574,6 +574,8 @@ def _full_sql() -> str:
     )
 
 
+# columns with large values are compared after division
+LARGE = {"age_cubed", *[f"poly_{i}" for i in range(9)]}
 FULL_TEXTS = ("segment", "age_group", "season")
 FULL_NUMBERS = (
     *ANALYTES,
@@ -605,8 +607,7 @@ FULL_NUMBERS = (
 @query("full_feature_table", _full_sql())
 def _(t: Tables):
     full = _survey_features(t, balance=False)
-    large = {"age_cubed", *[f"poly_{i}" for i in range(9)]}
-    return full.select(*[(F.col(c) / (100000 * F.pi())).alias(c) if c in large else F.col(c) for c in full.columns])
+    return full.select(*[(F.col(c) / (100000 * F.pi())).alias(c) if c in LARGE else F.col(c) for c in full.columns])
 
 
 @query("balanced_feature_table")

@@ -27,6 +27,7 @@ SKETCH_ACCURACY = 10_000
 DIRECT_CELLS = 4_000_000  # values a plain percentile aggregate may hold
 DIRECT_DISTINCT = 1_000
 BRACKET_ROWS = 100_000
+MAX_STALLS = 4
 RANGE_ROWS = 200_000
 MAX_RANGES = 8_192
 MAX_BOUNDED_ROWS = 10_000
@@ -62,6 +63,7 @@ class _Bracket:
         self.below, self.inside = 0, n
         self.slack = 3.0 / SKETCH_ACCURACY
         self.proposal = None
+        self.stalls = 0
 
     def holds(self, low, high) -> Column:
         c = F.col(self.column)
@@ -139,14 +141,16 @@ def _narrow(cells: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
         for i, b in enumerate(still_open):
             below, inside, different = row[3 * i : 3 * i + 3]
             if below <= b.low_rank and b.high_rank < below + inside:
-                shrunk = inside < b.inside
+                if inside == b.inside:
+                    b.stalls += 1
                 (b.low, b.high), b.below, b.inside = b.proposal, below, inside
-                if inside > BRACKET_ROWS and different > DIRECT_DISTINCT:
-                    if not shrunk:
-                        b.slack /= 2
-                    remaining.append(b)
-            else:
-                b.slack *= 4  # the sketch missed the rank: look wider inside the last proven bracket
+                done = inside <= BRACKET_ROWS or different <= DIRECT_DISTINCT
+            else:  # the sketch missed the rank: look wider inside the last proven bracket
+                b.stalls += 1
+                b.slack *= 4
+                done = False
+            # A bracket that does not shrink any more is ordered as it is.
+            if not done and b.stalls < MAX_STALLS:
                 remaining.append(b)
         still_open = remaining
     return brackets
