@@ -1,14 +1,16 @@
 """SAS transport files: each file is decoded in its own task; the result is a Parquet table.
 
-Files of one survey component become one table. Their columns are found first by a job that reads
+Files of one survey component become one table. Their columns are found first by a job that decodes
 only the headers; files that cannot be read are skipped and listed by ``xport_headers``.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
-from io import BytesIO
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,67 @@ from panelwise.sources.studies import find_files
 from panelwise.vocabulary import KEY, SURVEY_FILES
 
 CHUNK_ROWS = 50_000
+_NAMES = b"HEADER RECORD*******NAMESTR HEADER RECORD!!!!!!!"
+_ROWS = b"HEADER RECORD*******OBS     HEADER RECORD!!!!!!!"
+_CARD = 80
+_NAME_SIZE = 140
+
+
+@dataclass(frozen=True)
+class _Column:
+    name: str
+    is_text: bool
+    start: int
+    width: int
+
+
+def _layout(content: bytes) -> tuple[list[_Column], int]:
+    """Columns of a version 5 transport file, and where its rows begin (the published layout)."""
+    names, rows = content.find(_NAMES), content.find(_ROWS)
+    if names < 0 or rows < 0:
+        raise ValueError("not a SAS transport file")
+    count = int(content[names + 54 : names + 58])
+    columns = []
+    for i in range(count):
+        entry = content[names + _CARD + i * _NAME_SIZE :][:_NAME_SIZE]
+        kind, _, width = struct.unpack(">hhh", entry[:6])
+        (start,) = struct.unpack(">l", entry[84:88])
+        columns.append(_Column(entry[8:16].decode("latin1").strip(), kind == 2, start, width))
+    return columns, rows + _CARD
+
+
+def _doubles(cells: np.ndarray) -> np.ndarray:
+    """Base-16 floating numbers, cut to their first bytes, as doubles; missing values as NaN."""
+    full = np.zeros((len(cells), 8), dtype=np.uint8)
+    full[:, : cells.shape[1]] = cells
+    bits = full.view(">u8").ravel().astype(np.uint64)
+    fraction = (bits & np.uint64((1 << 56) - 1)).astype(np.float64) / 2.0**56
+    exponent = ((bits >> np.uint64(56)) & np.uint64(127)).astype(np.int64) - 64
+    values = np.ldexp(fraction, 4 * exponent)
+    values[(bits >> np.uint64(63)) == 1] *= -1
+    values[(fraction == 0) & (full[:, 0] != 0)] = np.nan
+    return values
 
 
 def _chunks(content: bytes) -> Iterator[pd.DataFrame]:
-    with pd.read_sas(BytesIO(content), format="xport", encoding="latin1", chunksize=CHUNK_ROWS) as reader:
-        yield from reader
+    columns, begin = _layout(content)
+    width = sum(c.width for c in columns)
+    count = (len(content) - begin) // width
+    rows = np.frombuffer(content, dtype=np.uint8, offset=begin, count=count * width).reshape(count, width)
+    # The last card is filled up with blanks, which may look like rows.
+    while count and len(content) - begin - (count - 1) * width <= _CARD and (rows[count - 1] == 32).all():
+        count -= 1
+    for at in range(0, count, CHUNK_ROWS):
+        part = rows[at : min(at + CHUNK_ROWS, count)]
+        out = {}
+        for c in columns:
+            cells = np.ascontiguousarray(part[:, c.start : c.start + c.width])
+            if c.is_text:
+                text = cells.view(f"S{c.width}").ravel()
+                out[c.name] = pd.Series([v.decode("latin1").rstrip() for v in text], dtype=object)
+            else:
+                out[c.name] = _doubles(cells)
+        yield pd.DataFrame(out)
 
 
 def _files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -38,12 +96,8 @@ def xport_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    with pd.read_sas(BytesIO(content), format="xport", encoding="latin1", iterator=True) as reader:
-                        found = [(f["name"].decode("latin1").strip() if isinstance(f["name"], bytes) else f["name"].strip(), f["ntype"] == "char") for f in reader.fields]
-                    yield pd.DataFrame(
-                        [(path, n, text, None) for n, text in found],
-                        columns=["path", "column", "is_text", "problem"],
-                    )
+                    found = [(path, c.name, c.is_text, None) for c in _layout(content)[0]]
+                    yield pd.DataFrame(found, columns=["path", "column", "is_text", "problem"])
                 except Exception as error:  # noqa: BLE001 - the reason is part of the result
                     yield pd.DataFrame(
                         [(path, None, None, str(error))], columns=["path", "column", "is_text", "problem"]
@@ -88,13 +142,17 @@ def read_xport(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def convert_survey(spark: SparkSession, root: str, out: str) -> list[str]:
-    """Decode every known component under ``root`` once, one Parquet table each."""
+    """Decode every known component under ``root`` once, one Parquet table each.
+
+    Returns the components that had a readable file.
+    """
     done = []
     found = find_files(spark, root, "*.[xX][pP][tT]")
     for name in SURVEY_FILES:
         paths = [p for p in found if p.rsplit("/", 1)[-1].upper() == f"{name}.XPT"]
-        if paths:
-            read_xport(spark, paths).write.mode("overwrite").parquet(f"{out}/{name}")
+        table = read_xport(spark, paths) if paths else None
+        if table is not None and table.columns:
+            table.write.mode("overwrite").parquet(f"{out}/{name}")
             done.append(name)
     return done
 
