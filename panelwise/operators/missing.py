@@ -66,16 +66,25 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]
 
 
 def fill_values(df: DataFrame, ids: Sequence[str] = ID_COLUMNS) -> dict[str, float | str]:
-    """What each column's missing cells are filled with."""
+    """What missing cells are filled with, for each column that has any."""
     numeric, text = numeric_columns(df, ids), string_columns(df, ids)
+    gaps = _with_nulls(df, numeric + text)
     fills: dict[str, float | str] = {
-        c: m for c, m in column_medians(df, numeric).items() if m is not None
+        c: m for c, m in column_medians(df, [c for c in numeric if c in gaps]).items() if m is not None
     }
-    for c, mode in column_modes(df, text).items():
+    for c, mode in column_modes(df, [c for c in text if c in gaps]).items():
         fills[c] = "unknown" if mode is None else mode
     return fills
 
 
+def _with_nulls(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """The columns that have a missing cell: only they need the costly statistics."""
+    if not columns:
+        return set()
+    row = df.agg(*[F.bool_or(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    return {c for i, c in enumerate(columns) if row[f"g{i}"]}
+
+
 def impute(
     df: DataFrame,
     ids: Sequence[str] = ID_COLUMNS,

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -126,6 +129,15 @@ def evaluate_classifier(
     return found, details
 
 
+PARALLEL_FITS = 4
+
+
+def _at_once(spark: SparkSession, work: list[Callable[[], object]]) -> list:
+    """Run independent fits from a few driver threads, so their small jobs fill the cluster."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]]
+
+
 def _validate(
     make: Callable[[DataFrame], Estimator],
     train: DataFrame,
@@ -136,16 +148,16 @@ def _validate(
 ) -> list[float]:
     """Score of each held-out fold: weighted F1 for classes, R2 otherwise."""
     folded = stratified_folds(train, key, "label" if classification else None, folds, seed).persist()
+
+    def held_out(fold: int) -> float:
+        part = folded.where(F.col("fold") != fold)
+        predicted = make(part).fit(part).transform(folded.where(F.col("fold") == fold))
+        if classification:
+            return classification_scores(predicted, "label", "prediction").first()["f1_score"]
+        return regression_scores(predicted, "label", "prediction").first()["r2_score"]
+
     try:
-        values = []
-        for fold in range(folds):
-            part = folded.where(F.col("fold") != fold)
-            predicted = make(part).fit(part).transform(folded.where(F.col("fold") == fold))
-            if classification:
-                values.append(classification_scores(predicted, "label", "prediction").first()["f1_score"])
-            else:
-                values.append(regression_scores(predicted, "label", "prediction").first()["r2_score"])
-        return values
+        return _at_once(train.sparkSession, [partial(held_out, fold) for fold in range(folds)])
     finally:
         folded.unpersist()
 
@@ -179,11 +191,14 @@ def train_classifiers(
     }
     done = Trained(task, prepared)
     n_true = len(class_counts(test, "label"))
-    for name in names:
-        if name == "neural_network" and n_classes < 2:
-            continue
+    chosen = [n for n in names if n != "neural_network" or n_classes >= 2]
+
+    def fit(name: str):
         model = makers[name](train).fit(train)
-        scores, details = evaluate_classifier(model.transform(test), name, n_true)
+        return model, *evaluate_classifier(model.transform(test), name, n_true)
+
+    fitted = _at_once(train.sparkSession, [partial(fit, name) for name in chosen])
+    for name, (model, scores, details) in zip(chosen, fitted):
         done.models[name] = model
         done.scores += scores
         done.details[name] = details
@@ -211,9 +226,13 @@ def train_regressors(
     prepared = ModelInput(written(data.rows, "model-input"), data.features, None, data.scaler)
     makers = {"random_forest": lambda rows: forest_regressor(opts), "ridge": ridge}
     done = Trained(task, prepared, classification=False)
-    for name in names:
+
+    def fit(name: str):
         model = makers[name](prepared.train).fit(prepared.train)
-        scores = regression_scores(model.transform(prepared.test), "label", "prediction").first()
+        return model, regression_scores(model.transform(prepared.test), "label", "prediction").first()
+
+    fitted = _at_once(prepared.rows.sparkSession, [partial(fit, name) for name in names])
+    for name, (model, scores) in zip(names, fitted):
         done.models[name] = model
         done.scores += [(name, metric, value) for metric, value in scores.asDict().items()]
     done.best = max(done.models, key=lambda m: done.score(m, "r2_score") or -math.inf)

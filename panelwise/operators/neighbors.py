@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 BLOCK_ROWS = 2_000
-MAX_PIVOTS = 1_024
+MAX_PIVOTS = 8_192
 _SLICE = 4_000_000  # doubles in one distance slice
 
 

@@ -102,7 +102,7 @@ def _in_blocks(
     grouped = df if group else df.withColumn("__all", F.lit(0))
     group = group or "__all"
     hashed = _with_hash(grouped, key, salt)
-    rows = bounded_rows(hashed.groupBy(group).count(), 1_000)
+    rows = bounded_rows(hashed.groupBy(group).count(), 200)
     if rows is not None:
         sizes = {r[group]: r["count"] for r in rows}
         if None in sizes:

@@ -100,15 +100,17 @@ def exact_quantiles(
     columns = list(columns)
     if not columns:
         return {}
-    sizes = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
-    counts = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
-    few = {c for i, c in enumerate(columns) if sizes[f"d{i}"] <= DIRECT_DISTINCT}
-    tiny = sum(counts.values()) <= DIRECT_CELLS
+    tiny = df.count() * len(columns) <= DIRECT_CELLS
+    if tiny:
+        direct = columns
+    else:
+        sizes = df.agg(
+            *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+            *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
+        ).first()
+        counts = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
+        direct = [c for i, c in enumerate(columns) if sizes[f"d{i}"] <= DIRECT_DISTINCT]
     found: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    direct = [c for c in columns if counts[c] and (tiny or c in few)]
     if direct:
         row = df.agg(
             *[
@@ -117,8 +119,8 @@ def exact_quantiles(
             ]
         ).first()
         for i, c in enumerate(direct):
-            found[c] = list(row[f"q{i}"])
-    wide = [c for c in columns if counts[c] and c not in direct]
+            found[c] = list(row[f"q{i}"] or found[c])
+    wide = [c for c in columns if c not in direct and counts[c]]
     if wide:
         cells = df.select(*[F.col(c).cast("double").alias(c) for c in wide])
         brackets = [_Bracket(c, p, counts[c]) for c in wide for p in probabilities]

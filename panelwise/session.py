@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Skew joins are split at run time even where that costs one more shuffle: a single hot key may
 # hold a third of a table. Small partitions are merged after each shuffle.
 RUNTIME_SETTINGS = {
+    # The JVM does not compile methods above 8000 bytes; wide projections are split instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
