@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -23,10 +24,10 @@ from pyspark.sql import window as W
 
 from panelwise.functions.hashing import SPAN
 
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 2_000
 DIRECT_CELLS = 4_000_000  # values a plain percentile aggregate may hold
 DIRECT_DISTINCT = 1_000
-BRACKET_ROWS = 100_000
+BRACKET_ROWS = 500_000  # different values, or rows, that one task may order
 MAX_STALLS = 4
 RANGE_ROWS = 200_000
 MAX_RANGES = 8_192
@@ -74,13 +75,18 @@ class _Bracket:
             test = test & (c <= F.lit(high))
         return test
 
-    def sketch(self) -> Column:
-        ends = [
+    def ends(self) -> list[float]:
+        """Shares, within the bracket, that should enclose the wanted ranks."""
+        return [
             min(1.0, max(0.0, (self.low_rank - self.below) / self.inside - self.slack)),
             min(1.0, max(0.0, (self.high_rank - self.below) / self.inside + self.slack)),
         ]
-        value = F.when(self.holds(self.low, self.high), F.col(self.column))
-        return F.percentile_approx(value, ends, SKETCH_ACCURACY)
+
+    def span(self) -> tuple:
+        return self.column, self.low, self.high
+
+    def inner(self) -> Column:
+        return F.when(self.holds(self.low, self.high), F.col(self.column))
 
     def proof(self) -> list[Column]:
         low, high = self.proposal
@@ -130,13 +136,26 @@ def exact_quantiles(
     return found
 
 
+def _propose(cells: DataFrame, brackets: list[_Bracket]) -> None:
+    """A narrower bracket for each, from one sketch per column and bracket."""
+    spans: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        spans.setdefault(b.span(), []).append(b)
+    sketches = [
+        F.percentile_approx(same[0].inner(), [e for b in same for e in b.ends()], SKETCH_ACCURACY)
+        for same in spans.values()
+    ]
+    row = cells.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first()
+    for i, same in enumerate(spans.values()):
+        for j, b in enumerate(same):
+            b.proposal = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
+
+
 def _narrow(cells: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
     """Shrink every bracket until few values, or few different values, are left in it."""
     still_open = [b for b in brackets if b.inside > BRACKET_ROWS]
     while still_open:
-        ends = cells.agg(*[b.sketch().alias(f"s{i}") for i, b in enumerate(still_open)]).first()
-        for i, b in enumerate(still_open):
-            b.proposal = tuple(ends[f"s{i}"])
+        _propose(cells, still_open)
         checks = [column for b in still_open for column in b.proof()]
         row = cells.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).first()
         remaining = []
@@ -146,7 +165,7 @@ def _narrow(cells: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
                 if inside == b.inside:
                     b.stalls += 1
                 (b.low, b.high), b.below, b.inside = b.proposal, below, inside
-                done = inside <= BRACKET_ROWS or different <= DIRECT_DISTINCT
+                done = different <= BRACKET_ROWS  # that many counted values are left to order
             else:  # the sketch missed the rank: look wider inside the last proven bracket
                 b.stalls += 1
                 b.slack *= 4
@@ -159,24 +178,30 @@ def _narrow(cells: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
 
 
 def _select(cells: DataFrame, brackets: list[_Bracket]) -> list[float]:
-    """Read the wanted ranks from the counted values of each bracket."""
+    """Read the wanted ranks from the counted values of each bracket.
+
+    A bracket of one value needs no reading. Rows outside all others are dropped first.
+    """
+    spread = {i: b for i, b in enumerate(brackets) if b.low is None or b.low != b.high}
+    if not spread:
+        return [b.low for b in brackets]
+    tests = {i: b.holds(b.low, b.high) for i, b in spread.items()}
     inside = F.array(
         *[
-            F.when(
-                b.holds(b.low, b.high),
-                F.struct(F.lit(i).alias("slot"), F.col(b.column).alias("value")),
-            )
-            for i, b in enumerate(brackets)
+            F.when(test, F.struct(F.lit(i).alias("slot"), F.col(spread[i].column).alias("value")))
+            for i, test in tests.items()
         ]
     )
     counted = (
-        cells.select(F.explode(F.array_compact(inside)).alias("cell"))
+        cells.where(reduce(lambda a, b: a | b, tests.values()))
+        .select(F.explode(inside).alias("cell"))
+        .where(F.col("cell").isNotNull())
         .groupBy("cell.slot", "cell.value")
         .count()
     )
     upto = W.Window.partitionBy("slot").orderBy("value").rowsBetween(W.Window.unboundedPreceding, 0)
     ranks = cells.sparkSession.createDataFrame(
-        [(i, b.low_rank - b.below, b.high_rank - b.below) for i, b in enumerate(brackets)],
+        [(i, b.low_rank - b.below, b.high_rank - b.below) for i, b in spread.items()],
         "slot int, low_rank bigint, high_rank bigint",
     )
     rows = (
@@ -189,7 +214,8 @@ def _select(cells: DataFrame, brackets: list[_Bracket]) -> list[float]:
         )
         .collect()
     )
-    ends = {row["slot"]: (row["low"], row["high"]) for row in rows}
+    ends = {i: (b.low, b.low) for i, b in enumerate(brackets)}
+    ends.update({row["slot"]: (row["low"], row["high"]) for row in rows})
     return [
         ends[i][0] + (ends[i][1] - ends[i][0]) * b.share for i, b in enumerate(brackets)
     ]
@@ -205,7 +231,8 @@ def range_splits(df: DataFrame, column: str, ranges: int) -> list[float]:
     if ranges < 2:
         return []
     shares = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, SKETCH_ACCURACY)).first()
+    accuracy = max(1_000, 10 * ranges)
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, accuracy)).first()
     return sorted(set(row[0] or []))
 
 

@@ -64,7 +64,12 @@ def test_quantiles_of_any_values(spark, large_paths, values):
 def test_bracket_recovers_from_a_sketch_that_misses(spark, large_paths, monkeypatch):
     values = [float(i) for i in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    monkeypatch.setattr(ranking._Bracket, "sketch", lambda self: F.array(F.lit(5.0), F.lit(1000.0 * self.slack)))
+
+    def wrong(cells, brackets):
+        for b in brackets:
+            b.proposal = (5.0, 1000.0 * b.slack)
+
+    monkeypatch.setattr(ranking, "_propose", wrong)
     assert ranking.exact_quantiles(df, ["x"], [0.5])["x"] == pytest.approx([1499.5])
 
 
