@@ -477,7 +477,7 @@ def _(t: Tables):
     "force_table",
     f"""WITH {_LINES_SQL}, chosen AS (SELECT DISTINCT row_id FROM phi ORDER BY row_id LIMIT 100),
     s AS (SELECT row_id, feature, sum(phi) AS phi FROM phi WHERE row_id IN (SELECT row_id FROM chosen) GROUP BY 1, 2)
-    SELECT row_id, feature, {r6('phi', 'phi')}, 1.5 AS base, {r6('1.5 + sum(phi) OVER (PARTITION BY row_id)', 'prediction')} FROM s""",
+    SELECT row_id, feature, {r6('phi', 'phi')}, CAST(1.5 AS DOUBLE) AS base, {r6('1.5 + sum(phi) OVER (PARTITION BY row_id)', 'prediction')} FROM s""",
 )
 def _(t: Tables):
     phi = linear_phi(t).groupBy("row_id", "feature").agg(F.sum("phi").alias("phi"))

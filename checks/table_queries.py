@@ -375,7 +375,7 @@ def _(t: Tables):
     f"""WITH {LABELLED_SQL}, {_ordered('labelled', 'quality', 'doc_id', 42)},
     split AS (SELECT *, place <= floor(group_rows * 0.2 + 0.5) AS is_test FROM placed),
     fit AS (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS s1, avg(n_spaces) AS m2, stddev_pop(n_spaces) AS s2 FROM split WHERE NOT is_test)
-    SELECT doc_id, {r6('(n_chars - m1) / s1', 'n_chars')}, {r6('(n_spaces - m2) / s2', 'n_spaces')}, 0.0 AS constant FROM split, fit""",
+    SELECT doc_id, {r6('(n_chars - m1) / s1', 'n_chars')}, {r6('(n_spaces - m2) / s2', 'n_spaces')}, CAST(0 AS DOUBLE) AS constant FROM split, fit""",
 )
 def _(t: Tables):
     rows = labelled(t).select("doc_id", "quality", "n_chars", "n_spaces", F.lit(5.0).alias("constant"))

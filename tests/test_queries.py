@@ -13,6 +13,14 @@ FOLDER = "/root/testdata/sf0.001"
 # Trained on every run and compared by rows only: checked in test_models.
 SLOW = {"train_classifiers", "train_multiclass", "train_regressors", "explained_forest", "model_importance", "balanced_feature_table"}
 
+SQL_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "smallint": "SMALLINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -23,8 +31,10 @@ def database():
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
 def test_query(spark, database, name):
-    got = entry.queries()[name](spark, FOLDER).toPandas()
-    assert difference(got, database.execute(entry.oracle_sql()[name]).df()) is None
+    df, sql = entry.queries()[name](spark, FOLDER), entry.oracle_sql()[name]
+    types = {row[0]: row[1] for row in database.execute(f"DESCRIBE {sql}").fetchall()}
+    assert {c: SQL_TYPES[t] for c, t in df.dtypes} == types
+    assert difference(df.toPandas(), database.execute(sql).df()) is None
 
 
 def test_entry(spark):
