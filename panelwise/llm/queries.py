@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import byte_bpe, line_dedup, token_files, warc
+from panelwise.llm import byte_bpe, line_dedup, quality, token_files, warc
 from panelwise.llm.common import new_folder, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,33 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         key="key",
     )
     return decoded.select("key.*", F.sha2(F.col("bytes"), 256).alias("decoded_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^ \t\n\x0B\f\r]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+runs AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
+line AS (SELECT doc_id, source, t, unnest(ls) AS line FROM w),
+keyed AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line),
+held AS (SELECT source, k, count(DISTINCT t) AS held, min(doc_id) AS first FROM keyed WHERE k <> '' GROUP BY source, k),
+hosts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
+shared AS (SELECT held.source, k, first FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held > 20 AND held > 0.1 * texts),
+removed AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+'))) AS n
+  FROM keyed JOIN shared ON keyed.k = shared.k AND keyed.source IS NOT DISTINCT FROM shared.source WHERE doc_id <> first GROUP BY doc_id),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM keyed WHERE k <> '' GROUP BY doc_id),
+counts AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+  coalesce(covered.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS gone
+  FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, b AS base_failed, NOT b AND n_words - gone >= 0.2 * n_words AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS b FROM counts)
+"""
+
+
+@query("op10_quality_rules", OP10_SQL)
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.drop("cleaned", "n_removed_words")
