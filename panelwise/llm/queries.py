@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import byte_bpe, line_dedup, mixing, quality, token_files, warc
+from panelwise.llm import byte_bpe, line_dedup, mixing, quality, secrets, token_files, warc
 from panelwise.llm.common import new_folder, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,38 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS b FROM co
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_rules(table(spark, sf_dir, "documents"))
     return judged.drop("cleaned", "n_removed_words")
+
+
+def _secret_sql() -> str:
+    """Gaps and matches in turn give each rule's places."""
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    hits = [
+        f"""SELECT doc_id, {i} AS rule, '{r.kind}' AS kind, unnest(range(1, len(m) + 1)) AS n, g, m, s, {r.least} AS least FROM (
+        SELECT doc_id, string_split_regex(t, {quoted(r.pattern)}) AS g, regexp_extract_all(t, {quoted(r.pattern)}) AS m,
+        regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS s FROM d WHERE regexp_matches(t, {quoted(r.pattern)}))"""
+        for i, r in enumerate(secrets.RULES)
+    ]
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    hits AS ({" UNION ALL ".join(hits)}),
+    sizes AS (SELECT doc_id, rule, kind, n, length(g[n]) AS gap, length(m[n]) AS size, length(s[n]) >= least AS good FROM hits),
+    ends AS (SELECT *, CAST(sum(gap + size) OVER (PARTITION BY doc_id, rule ORDER BY n) AS BIGINT) AS e FROM sizes),
+    spans AS (SELECT doc_id, rule, kind, e - size AS b, kind || ':' || (e - size) || ':' || e AS span FROM ends WHERE good),
+    per AS (SELECT doc_id, count(*) FILTER (rule = 0) AS a, count(*) FILTER (rule = 1) AS c, count(*) FILTER (rule = 2) AS h,
+      string_agg(span, ',' ORDER BY b, rule) FILTER (rule < 3) AS base, string_agg(span, ',' ORDER BY b, rule) AS every FROM spans GROUP BY doc_id)
+    SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN per USING (doc_id)
+    """
+
+
+@query("op6_secrets", _secret_sql())
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE_RULES))
+    return found.select(
+        "doc_id",
+        *(count(r.kind) for r in secrets.BASE_RULES),
+        F.sha2(secrets.written_spans(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.written_spans(F.col("spans")).alias("spans"),
+    )
