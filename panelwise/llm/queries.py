@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import byte_bpe, line_dedup, mixing, quality, secrets, token_files, warc
+from panelwise.llm import byte_bpe, line_dedup, mixing, quality, secrets, token_files, toxicity, warc
 from panelwise.llm.common import new_folder, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.written_spans(base).cast("binary"), 256).alias("base_sha256"),
         secrets.written_spans(F.col("spans")).alias("spans"),
     )
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    scored = toxicity.score_toxicity(docs, labels, learn_from=~held_out)
+    score = F.col("score")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score, (score >= 0.3).cast("int").alias("predicted"))
