@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import byte_bpe, line_dedup, minhash, mixing, quality, secrets, token_files, toxicity, warc
+from panelwise.llm import byte_bpe, line_dedup, minhash, mixing, quality, secrets, token_files, topk, toxicity, warc
 from panelwise.llm.common import new_folder, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,21 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b)
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash.Settings(words=3, percent=85)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings).drop("content")
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op4_exact_top_k", OP4_SQL)
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable("embedding"))
+    rows = rows.select("vec_id", topk.floored("embedding", 256.0).alias("vector"))
+    best = topk.exact_top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+    return best.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("bigint").alias("score"))
