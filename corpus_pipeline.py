@@ -1,22 +1,72 @@
-"""From raw documents to token ids: filter, remove repeats, mix, encode."""
+"""From raw documents to token ids: filter, drop repeated lines and near copies, mix, encode.
+
+Every stage is a function of (spark, docs, sf_dir). All but the last return the columns of
+``documents``; where a stage changes a text, ``n_chars`` follows it.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwise.llm import byte_bpe
+from panelwise.llm import byte_bpe, line_dedup, minhash, mixing, quality
 from panelwise.session import written
 
 
+def _same_columns(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` with a new text."""
+    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without the lines that their source repeats."""
+    judged = quality.apply_rules(docs, carry=_others(docs))
+    return _same_columns(judged.where("kept"), docs, F.col("cleaned"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier document holds."""
+    return _same_columns(line_dedup.dedup_lines(docs, carry=_others(docs)), docs, F.col("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    found = minhash.near_duplicates(docs, minhash.Settings(words=5, percent=80))
+    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
+    own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = own.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")), "left_semi")
+    return one.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text."""
-    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Byte-level BPE ids of every text, and whether decoding them gives the text back."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")).alias("key"), "text")
+    encoded = byte_bpe.encode(keyed, ranks, public_tokenizers.PATTERN, key="key", offsets=False)
+    decoded = byte_bpe.decode(encoded.select(F.struct("key.*", "ids").alias("key"), "ids"), ranks, key="key")
+    return decoded.select("key.doc_id", F.size("key.ids").cast("bigint").alias("n_tokens"), "key.ids", (F.xxhash64("text") == F.col("key.content")).alias("intact"))
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("drop_repeated_lines", drop_repeated_lines),
+    ("drop_near_copies", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
 
-#: The stages split text by a learned vocabulary and by hashes that SQL lacks.
+#: Seeded hashes and learned merges are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
