@@ -152,13 +152,16 @@ def dedup_lines(
     chosen = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"), F.struct(*carry, F.lit(None).cast("int").alias("_")).alias("carried"))
     found = chosen.select("key", "text").mapInArrow(suspects, T.StructType([T.StructField("owner", kind), T.StructField("line", T.BinaryType())]))
     found = written(found, "suspected-lines")
-    repeated = (
+    # Written, so that the join can split a line that a large share of all documents holds.
+    repeated = written(
         found.groupBy("line")
         .agg(F.min("owner").alias("first"), F.max("owner").alias("last"), F.max(F.isnull("owner")).alias("unnamed"))
         .where("first <> last or (unnamed and first is not null)")
+        .select("line", "first"),
+        "repeated-lines",
     )
     drops = (
-        found.join(repeated.select("line", "first"), "line")
+        found.join(repeated, "line")
         .where(~F.col("owner").eqNullSafe(F.col("first")))
         .groupBy("owner")
         .agg(F.collect_set("line").alias("drops"))
