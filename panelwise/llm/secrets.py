@@ -222,7 +222,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
     kind = F.get(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule"))
     span = F.struct((F.col("end") - F.col("size")).alias("start"), "rule", "end", kind.alias("kind"))
     spans = ends.where("good").groupBy("content", "check").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    spans = spans.select(F.col("content").alias("of"), F.col("check").alias("of_check"), "spans")
+    # Written, so that the join can split a text that a large share of all documents copies.
+    spans = written(spans.select(F.col("content").alias("of"), F.col("check").alias("of_check"), "spans"), "spans")
     keys = docs.select(F.col(key).alias("key"), F.xxhash64(value).alias("content"), F.xxhash64(F.lit(1), value).alias("check"))
     joined = keys.join(spans, (F.col("content") == F.col("of")) & (F.col("check") == F.col("of_check")), "left")
     return joined.select(F.col("key").alias(key), F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
