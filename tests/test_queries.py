@@ -29,7 +29,7 @@ def database():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW - set(entry.TEXT_QUERIES)))
 def test_query(spark, database, name):
     df, sql = entry.queries()[name](spark, FOLDER), entry.oracle_sql()[name]
     types = {row[0]: row[1] for row in database.execute(f"DESCRIBE {sql}").fetchall()}
