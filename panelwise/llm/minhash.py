@@ -1,7 +1,7 @@
 """Near duplicates by MinHash: banded candidates, Bayesian pruning, exact confirmation.
 
 Documents with the same set of shingles are one node from the start, so copies cost nothing
-further. In each bucket of a band every node is compared with the bucket's smallest node; what that
+further. In each bucket of a band every node is compared with the one that meets most others; what that
 leaves unlinked is compared across the components so far, block against block. A comparison reads
 a small sketch in batches and stops as soon as the posterior probability of enough similarity falls
 under a chosen miss probability; survivors are confirmed on the full sets of their texts. Links are
@@ -314,11 +314,12 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, settings: S
                 fits = part[0][:, None] != part[1][None, :]
                 low, high = np.minimum.outer(size[0], size[1]), np.maximum.outer(size[0], size[1])
                 fits &= 100 * low >= settings.percent * high
-                for i in np.flatnonzero(fits.any(axis=1)):
-                    j = np.flatnonzero(fits[i])
-                    j = j[(b[j, :first] == a[i, :first]).sum(axis=1) >= least]
-                    j = j[may_link(np.repeat(a[i : i + 1], len(j), axis=0), b[j], settings)]
-                    found.append(np.stack([np.full(len(j), node[0][i]), node[1][j]]))
+                for start in range(0, len(a), 64):  # bounded memory
+                    here = slice(start, start + 64)
+                    equal = (a[here, None, :first] == b[None, :, :first]).sum(axis=2, dtype=np.uint16)
+                    i, j = np.nonzero(fits[here] & (equal >= least))
+                    kept = may_link(a[i + start], b[j], settings)
+                    found.append(np.stack([node[0][i[kept] + start], node[1][j[kept]]]))
             pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*pairs), pa.int64()), pa.array(np.maximum(*pairs), pa.int64())], names=["a", "b"])
 
@@ -350,9 +351,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     nodes = written(signed.where("n_shingles > 0").dropDuplicates(["node"]).select("node", "n_shingles", "buckets", "sketch"), "nodes")
 
     rows = nodes.select("node", "n_shingles", F.explode("buckets").alias("bucket"))
-    first = F.min("node").alias("pivot"), F.count("*").alias("held")
-    shared = rows.groupBy("bucket").agg(*first).where("held > 1").drop("held")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
     members = written(rows.join(shared, "bucket"), "shared-buckets")
+    # A text that others were made from shares buckets with more of them than they do with each
+    # other, so the node that meets most others is the one to compare a bucket with.
+    met = members.groupBy("node").agg(F.sum("held").alias("met"))
+    pivots = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
+    members = members.join(written(pivots, "pivots"), "bucket")
     sizes = nodes.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("n_pivot"))
     pairs = members.where("node <> pivot").select("node", "pivot", "n_shingles").distinct().join(sizes, "pivot")
     pairs = pairs.where(_size_allows(settings, "n_shingles", "n_pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
