@@ -1,8 +1,8 @@
 """Near duplicates by MinHash: banded candidates, Bayesian pruning, exact confirmation.
 
 Documents with the same set of shingles are one node from the start, so copies cost nothing
-further. In each bucket of a band every node is compared with the one that meets most others; what that
-leaves unlinked is compared across the components so far, block against block. A comparison reads
+further. In each bucket of a band every node is compared with the one that meets most others; what
+that leaves unlinked is compared across the components so far, block by block. A comparison reads
 a small sketch in batches and stops as soon as the posterior probability of enough similarity falls
 under a chosen miss probability; survivors are confirmed on the full sets of their texts. Links are
 joined to components by passing on the smallest label. No step lists all pairs of a group, gathers
@@ -110,17 +110,17 @@ class _Signer:
         self.settings = settings
         random = np.random.default_rng(settings.seed)
         n = settings.rows * settings.bands + settings.sketch
-        self.a = random.integers(0, 1 << 32, n, dtype=np.uint32)[:, None] | np.uint32(1)
-        self.b = random.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
+        self.a = random.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+        self.b = random.integers(0, 1 << 32, n, dtype=np.uint32)
         self.fold = random.integers(0, 1 << 63, settings.rows, dtype=np.uint64) | np.uint64(1)
         self.band = random.integers(0, 1 << 63, settings.bands, dtype=np.uint64)
 
     def sign(self, runs: np.ndarray) -> tuple[np.ndarray, bytes]:
         """A bucket for each band, and the sketch; hashes of one do not serve the other."""
-        short = (runs ^ (runs >> np.uint64(32))).astype(np.uint32)
+        short = (runs ^ (runs >> np.uint64(32))).astype(np.uint32)[:, None]
         least = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
-        for i in range(0, len(short), 512):
-            np.minimum(least, (self.a * short[i : i + 512] + self.b).min(axis=1), out=least)
+        for i in range(0, len(short), 256):
+            np.minimum(least, (short[i : i + 256] * self.a + self.b).min(axis=0), out=least)
         split = self.settings.rows * self.settings.bands
         rows = least[:split].reshape(self.settings.bands, -1).astype(np.uint64)
         buckets = _mix((rows * self.fold).sum(axis=1) + self.band)
