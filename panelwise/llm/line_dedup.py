@@ -124,7 +124,7 @@ def dedup_lines(
     least: int = 10,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: the columns ``carry``, ``key``, ``n_lines``, ``n_dropped`` and ``kept``,
+    """One row per document: ``key``, the columns ``carry`` in the struct ``carried``, ``n_lines``, ``n_dropped`` and ``kept``,
     the text without its dropped lines.
 
     A line's key has no white space at its ends and A-Z lower-cased. Keys of ``least`` characters
@@ -190,4 +190,4 @@ def dedup_lines(
         T.StructField("kept", T.StringType()),
     ])
     joined = chosen.join(drops, F.col("key").eqNullSafe(F.col("owner")), "left").select("key", "carried", "text", "drops")
-    return joined.mapInArrow(rebuild, schema).select(F.col("key").alias(key), *(F.col("carried")[c].alias(c) for c in carry), "n_lines", "n_dropped", "kept")
+    return joined.mapInArrow(rebuild, schema).select(F.col("key").alias(key), *(["carried"] if carry else []), "n_lines", "n_dropped", "kept")

@@ -114,7 +114,7 @@ def apply_rules(
     depleted: float = 0.2,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: the columns ``carry``, ``key``, the counts, ``base_failed``,
+    """One row per document: the columns ``carry`` in the struct ``carried``, ``key``, the counts, ``base_failed``,
     ``n_removed_words``, ``kept`` and ``cleaned``, the text without the host's shared lines.
 
     The base rules fail a text of fewer than ``least_words`` words, or with more than
@@ -157,7 +157,7 @@ def apply_rules(
     failed = (n < least_words) | (100 * again > most_repeated * n)
     stay = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("places", i))
     return joined.select(
-        *(F.col("carried")[c].alias(c) for c in carry if c != key),
+        *(["carried"] if carry else []),
         F.col("id").alias(key),
         n.alias("n_words"),
         "word_chars",

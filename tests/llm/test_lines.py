@@ -47,8 +47,8 @@ def test_line_dedup(awkward, awkward_rows):
 
 def test_line_dedup_carries_columns(awkward, awkward_rows):
     got = line_dedup.dedup_lines(awkward, carry=("ids", "source"))
-    assert got.columns == ["doc_id", "ids", "source", "n_lines", "n_dropped", "kept"]
-    assert Counter(r["source"] for r in got.collect()) == Counter(r[3] for r in awkward_rows)
+    assert got.columns == ["doc_id", "carried", "n_lines", "n_dropped", "kept"]
+    assert Counter(r["carried"]["source"] for r in got.collect()) == Counter(r[3] for r in awkward_rows)
 
 
 def test_line_dedup_of_nothing(nothing):
