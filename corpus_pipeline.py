@@ -15,9 +15,9 @@ from panelwise.session import written
 
 
 def _same_columns(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
-    """The columns of ``docs`` with a new text."""
-    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
-    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """The columns of ``docs``, as carried along, with a new text."""
+    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("bigint")}
+    return df.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def _others(docs: DataFrame) -> tuple[str, ...]:
