@@ -224,13 +224,15 @@ def score_toxicity(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
+    most_labelled: int = 200_000,
 ) -> DataFrame:
     """One row per document: ``key``, ``n_words``, ``passages`` (each with ``significant``) and
     ``score``, the fitted probability that it is toxic.
 
     ``labels`` has ``key`` and ``label``; of them, only rows for which ``learn_from`` (over the
-    key) holds are read. A document with several labels is toxic if one says so. The words of all
-    documents shape the prior; nothing but the text reaches a score. Null or empty texts have the
+    key) holds are read, and of more than ``most_labelled`` labelled documents about so many, chosen by
+    hash, so that their keys can be sent to every task. A document with several labels is toxic if
+    one says so. The words of all documents shape the prior; nothing but the text reaches a score. Null or empty texts have the
     score of a text without passages. Without labels of both kinds, every score is the share of
     toxic ones, and 0.5 without any. Repeated rows and null keys are scored like others; other
     columns are not read.
@@ -238,6 +240,8 @@ def score_toxicity(
     prepare(docs.sparkSession)
     known = labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.max(label).alias("toxic"))
     known = written(known, "training-labels")
+    share = most_labelled / max(1, known.count())
+    known = F.broadcast(known.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < share * (1 << 30)))
     texts = docs.select(F.col(key).alias("of"), text_or_empty(text).alias("text")).join(known, "of", "left")
     counts = count_words(texts)
     scores = word_scores(counts)
