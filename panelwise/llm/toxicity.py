@@ -240,8 +240,8 @@ def score_toxicity(
     prepare(docs.sparkSession)
     known = labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.max(label).alias("toxic"))
     known = written(known, "training-labels")
-    share = most_labelled / max(1, known.count())
-    known = F.broadcast(known.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < share * (1 << 30)))
+    fraction = most_labelled / max(1, known.count())
+    known = F.broadcast(known.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < fraction * (1 << 30)))
     texts = docs.select(F.col(key).alias("of"), text_or_empty(text).alias("text")).join(known, "of", "left")
     counts = count_words(texts)
     scores = word_scores(counts)
