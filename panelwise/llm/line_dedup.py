@@ -24,9 +24,9 @@ PROBES = 5
 BITS_PER_LINE = 10
 #: A filter is cut into parts, which are merged apart from each other.
 PARTS = 64
-#: Filters are never larger than this (32 MB each), so they can be sent to every worker. Beyond
+#: Filters are never larger than this (128 MB each), so they can be sent to every worker. Beyond
 #: it, more lines are suspected than repeat, and the shuffle grows; results do not change.
-MOST_BITS = 1 << 28
+MOST_BITS = 1 << 30
 
 _SPACE = SPACE_CHARS.encode()
 
