@@ -19,12 +19,14 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows that Spark hands to Python at a time; a text may be long, so few.
 BATCH_ROWS = 256
+BATCH_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Run-time settings for rows that hold whole texts."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

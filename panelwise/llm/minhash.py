@@ -15,6 +15,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from panelwise.session import written
 
 REMEMBERED = 400_000
 #: Nodes per block when nodes of a bucket are compared with each other.
-BLOCK = 256
+BLOCK = 64
 #: Nodes up to which the documents to confirm are named to every task (8 bytes each); beyond that
 #: texts are shuffled to find them.
 SMALL = 400_000
@@ -51,6 +52,7 @@ class Settings:
     def bands(self) -> int:
         return math.ceil(math.log(self.miss) / math.log(1 - (self.percent / 100) ** self.rows))
 
+    @cache
     def bounds(self) -> list[tuple[int, int]]:
         """After so many values of the sketch, the least number of equal ones with which a pair may
         still be similar: the posterior, from a uniform prior, gives it ``miss`` or more.
@@ -200,6 +202,11 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame
     return both.mapInArrow(run, "a long, b long, equal int")
 
 
+def _is_link(x: np.ndarray, y: np.ndarray, settings: Settings) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= settings.percent * (len(x) + len(y) - common)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """The pairs that are links, on the full sets of their (packed) texts."""
 
@@ -212,11 +219,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
                     sets[packed] = shingles(zlib.decompress(packed).decode(), settings.words)
                 return sets[packed]
 
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = of(x), of(y)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * common >= settings.percent * (len(x) + len(y) - common))
+            linked = [_is_link(of(x), of(y), settings) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             kept = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
 
@@ -281,47 +284,76 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where("__a <> __b").drop("__a", "__b")
 
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs, not ruled out, of nodes that share a bucket of three or more but no component.
+class _Parts:
+    """Which components of a meeting have been linked in it."""
+
+    def __init__(self):
+        self.over: dict[int, int] = {}
+
+    def of(self, part: int) -> int:
+        while part in self.over:
+            part = self.over[part]
+        return part
+
+    def join(self, a: int, b: int) -> None:
+        self.over[self.of(a)] = self.of(b)
+
+
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links of nodes that share a bucket of three or more but no component.
 
     In each bucket, nodes outside the commonest component (the minor ones) are compared with all
-    nodes of other components. Blocks of bounded size meet block by block; each meeting is one row,
-    and only pairs that are not ruled out leave it.
+    nodes of other components. Blocks of bounded size meet block by block, each meeting is one row,
+    and only links leave it: pairs that the sketches do not rule out are confirmed there, the most
+    alike first, unless the meeting has linked their components by then. A pair that meets in
+    several buckets is looked at in the first.
     """
     named = written(_labelled(members, labels, "node", "component"), "bucket-members")
     per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("most"))
-    mixed = mixed.where("parts > 1 and size > 2")
-    own = named.join(mixed, "bucket").join(nodes.select("node", "sketch"), "node")
-    minor = F.col("component") != F.col("major")
+    mixed = written(mixed.where("parts > 1 and size > 2"), "mixed-buckets")
+    own = named.select("node", "component", "bucket").join(mixed, "bucket").join(nodes, "node").join(texts, "node")
     blocks = F.ceil(F.col("size") / BLOCK)
     place = F.xxhash64(F.lit(3), "node")
-    row = F.struct("node", "n_shingles", "component", "sketch")
+    row = F.struct("node", "n_shingles", "component", "buckets", "sketch", "packed")
     right = own.select("bucket", F.pmod(place, blocks).alias("right"), row.alias("row")).groupBy("bucket", "right").agg(F.collect_list("row").alias("others"))
     lefts = F.ceil((F.col("size") - F.col("most")) / BLOCK)
-    left = own.where(minor).select("bucket", F.pmod(place, lefts).alias("left"), blocks.alias("blocks"), row.alias("row"))
+    left = own.where("component <> major").select("bucket", F.pmod(place, lefts).alias("left"), blocks.alias("blocks"), row.alias("row"))
     left = left.groupBy("bucket", "left", "blocks").agg(F.collect_list("row").alias("these"))
-    meetings = left.withColumn("right", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).join(right, ["bucket", "right"]).select("these", "others")
-    (first, least), *_ = settings.bounds()
+    meetings = left.withColumn("right", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).join(right, ["bucket", "right"]).select("bucket", "these", "others")
+
+    def meet(bucket: int, x: pa.StructArray, y: pa.StructArray) -> list[tuple[int, int]]:
+        node, size, part = ([np.asarray(s.field(f)) for s in (x, y)] for f in ("node", "n_shingles", "component"))
+        a, b = (_matrix(s.field("sketch"), settings.sketch) for s in (x, y))
+        where = [np.asarray(s.field("buckets").flatten()).reshape(len(s), -1) for s in (x, y)]
+        low, high = np.minimum.outer(size[0], size[1]), np.maximum.outer(size[0], size[1])
+        fits = (part[0][:, None] != part[1][None, :]) & (100 * low >= settings.percent * high)
+        i, j = np.nonzero(fits)
+        kept = may_link(a[i], b[j], settings)
+        i, j = i[kept], j[kept]
+        same = where[0][i] == where[1][j]
+        kept = where[0][i, same.argmax(axis=1)] == bucket
+        i, j = i[kept], j[kept]
+        order = np.argsort(-(a[i] == b[j]).sum(axis=1), kind="stable")
+        sets: dict[tuple[int, int], np.ndarray] = {}
+
+        def of(side: int, at: int) -> np.ndarray:
+            if (side, at) not in sets:
+                sets[side, at] = shingles(zlib.decompress((x, y)[side].field("packed")[at].as_py()).decode(), settings.words)
+            return sets[side, at]
+
+        linked, parts = [], _Parts()
+        for p, q in zip(i[order].tolist(), j[order].tolist()):
+            one, other = int(part[0][p]), int(part[1][q])
+            if parts.of(one) != parts.of(other) and _is_link(of(0, p), of(1, q), settings):
+                parts.join(one, other)
+                linked.append((int(node[0][p]), int(node[1][q])))
+        return linked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[np.ndarray] = []
-            for these, others in zip(batch.column(0), batch.column(1)):
-                x, y = these.values, others.values
-                node, size, part = ([np.asarray(s.field(f)) for s in (x, y)] for f in ("node", "n_shingles", "component"))
-                a, b = (_matrix(s.field("sketch"), settings.sketch) for s in (x, y))
-                fits = part[0][:, None] != part[1][None, :]
-                low, high = np.minimum.outer(size[0], size[1]), np.maximum.outer(size[0], size[1])
-                fits &= 100 * low >= settings.percent * high
-                for start in range(0, len(a), 64):  # bounded memory
-                    here = slice(start, start + 64)
-                    equal = (a[here, None, :first] == b[None, :, :first]).sum(axis=2, dtype=np.uint16)
-                    i, j = np.nonzero(fits[here] & (equal >= least))
-                    kept = may_link(a[i + start], b[j], settings)
-                    found.append(np.stack([node[0][i[kept] + start], node[1][j[kept]]]))
-            pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*pairs), pa.int64()), pa.array(np.maximum(*pairs), pa.int64())], names=["a", "b"])
+            found = [link for bucket, these, others in zip(*batch.columns) for link in meet(bucket.as_py(), these.values, others.values)]
+            yield pa.RecordBatch.from_arrays([pa.array([link[i] for link in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return meetings.mapInArrow(run, "a long, b long").distinct()
 
@@ -365,8 +397,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
 
     # Of each node's candidates the likeliest is confirmed first; most others then lie in the same
     # component and need no look.
-    wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
-    texts = written(_packed_texts(docs, facts, wanted, settings, text), "packed-texts")
+    texts = written(_packed_texts(docs, facts, members.select("node").distinct(), settings, text), "packed-texts")
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a"))
     links = written(_confirmed(best, texts, settings), "near-links")
     labels = components(links)
@@ -374,14 +405,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     links = written(links.unionByName(_confirmed(_apart(rest, labels), texts, settings)), "near-links")
     labels = components(links)
 
-    across = written(_across(members.select("bucket", "node", "n_shingles"), labels, nodes, settings), "across-candidates")
-    tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = across.join(tried, ["a", "b"], "left_anti")
+    across = written(_across(members, labels, nodes, texts, settings), "across-links")
     if not across.isEmpty():
-        wanted = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct()
-        more = written(_packed_texts(docs, facts, wanted, settings, text), "packed-texts")
-        links = written(links.unionByName(_confirmed(across, more, settings)), "near-links")
-        labels = components(links)
+        labels = components(links.unionByName(across))
 
     least = _labelled(signed.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")), labels, "node", "component")
     least = least.join(least.groupBy(F.col("component").alias("of")).agg(F.min("key").alias("component_id")), F.col("component") == F.col("of"))
