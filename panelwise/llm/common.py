@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Iterator
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.session import configure, shared_folder
@@ -61,20 +59,3 @@ def text_or_empty(column: str) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of a text that is not null."""
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
-
-
-def spread_by_key(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), key)
-
-
-def ascii_lower(data: bytes) -> bytes:
-    return data.lower()  # of bytes, this changes A-Z alone
-
-
-def content_key(text: str) -> str:
-    return hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
-
-
-def chunks(items: list, size: int) -> Iterator[list]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]
