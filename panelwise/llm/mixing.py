@@ -19,8 +19,9 @@ from panelwise.llm.common import partitions, prepare, text_or_empty, word_count
 from panelwise.operators.ranking import small_table
 from panelwise.session import written
 
-#: Shards per shuffle partition, over all sources.
-SHARDS = 4
+#: Rows of a shard, and the most shards of all sources; set by the rows alone, so that the mixture
+#: is the same whatever the session's number of partitions.
+SHARD_ROWS, MOST_SHARDS = 512, 1 << 16
 #: The smallest target holds at least so many blocks, where words are the limit.
 LEAST_BLOCKS = 1024
 MOST_BLOCK_WORDS = 1024
@@ -120,18 +121,18 @@ def mix(
     of repeated rows it may take more from one than from another, but always as much in all. Other
     columns are not read.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     value = text_or_empty(text)
     sized = written(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(value).alias("size"), F.xxhash64(value).alias("content")), "sizes")
-    sources = _numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sources = _numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     sources = _with_targets(sources, weights, share, repeats)
-    facts = sources.agg(F.sum("source_size").alias("words"), F.sum("target").alias("target"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
-    words, least = facts["words"] or 0, facts["least"] or 0.0
+    facts = sources.agg(F.sum("rows").alias("rows"), F.sum("target").alias("target"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
+    least = facts["least"] or 0.0
     block = min(MOST_BLOCK_WORDS, 1 << max(0, int(least / LEAST_BLOCKS).bit_length() - 1))
     blocks = lambda size: F.ceil(repeats * F.col(size) / block)
     sources = sources.withColumn("seats", F.lit(round((facts["target"] or 0.0) / block))).withColumn("most", blocks("source_size"))
     sources = apportion(sources, None, "seats", "target", "most", "number")
-    shards = F.greatest(F.ceil(F.col("source_size") * (SHARDS * partitions(spark) / max(1, words))), F.lit(1))
+    shards = F.ceil(F.col("rows") * min(1 / SHARD_ROWS, MOST_SHARDS / max(1, facts["rows"] or 0)))
     sources = small_table(written(sources.select(F.col("source").alias("of"), "number", "source_size", "target", F.col("quota").alias("seats"), shards.alias("shards")), "source-quotas"))
 
     dealt = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
