@@ -24,7 +24,7 @@ from tokenizers.models import BPE
 from panelwise.llm.common import prepare, text_or_empty
 
 #: Pieces a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts of these characters only can be cut with the pattern's classes written out.

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from panelwise.llm.common import prepare, text_or_empty
 from panelwise.session import written
 
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Nodes per block when nodes of a bucket are compared with each other.
 BLOCK = 64
 #: Nodes up to which the documents to confirm are named to every task (8 bytes each); beyond that

@@ -36,7 +36,7 @@ PARTS = 64
 PRIOR_SHARE, ERRORS, DRIFT = 0.5, 2.0, 0.2
 #: The highest mean of the fitted chance law that still counts a passage as beyond chance.
 SIGNIFICANT = 0.05
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"[^\W_]+")
 
