@@ -25,8 +25,9 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that their source repeats."""
-    judged = quality.apply_rules(docs, carry=_others(docs))
+    """Documents that the quality rules keep, without the lines that their source repeats. A line
+    is repeated if more than 20 texts of the source hold it, however large the source is."""
+    judged = quality.apply_rules(docs, share=0.0, carry=_others(docs))
     return _same_columns(judged.where("kept"), docs, F.col("cleaned"))
 
 

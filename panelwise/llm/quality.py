@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = "#*$%&|<>"
 #: Lines over the limits, over all hosts, up to which they are sent to every task (about 5 MB);
 #: beyond that the join shuffles both sides. A limit of a share of a host's texts allows at most
-#: (lines per text / share) such lines per host.
+#: (lines per text / share) such lines per host; a limit in texts alone lets them grow with the host.
 SMALL = 100_000
 
 
@@ -120,7 +120,8 @@ def apply_rules(
     The base rules fail a text of fewer than ``least_words`` words, or with more than
     ``most_repeated`` percent of them inside repeated runs of three. A line is shared if more than
     ``least_texts`` different texts of its host, and more than ``share`` of them, hold it (A-Z
-    lower-cased, white space at the ends left off, lines without text apart). It is removed
+    lower-cased, white space at the ends left off, lines without text apart); a ``share`` of 0
+    leaves the number alone as the limit, whatever the size of the host. It is removed
     everywhere but from the document with the smallest key, so nothing is lost altogether. A
     document is rejected if the base rules fail it or less than ``depleted`` of its words is left.
 

@@ -122,6 +122,19 @@ def test_stages_keep_what_they_should(spark):
     assert ids(stages["drop_near_copies"](spark, twice, FOLDER)) == [1, 3, 4, 5]
 
 
+def test_boilerplate_of_a_large_source_goes(spark):
+    """A line in 3 % of a source with nearly all rows, and texts made of little else."""
+    own = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n))
+    common = " ".join(f"common{j}" for j in range(70))
+    rows = [(i, f"{common}\n{own(i, 60)}", "en", "hot", 0) for i in range(40)] + [(40, f"{common}\nfew words", "en", "hot", 0)]
+    rows += [(i, own(i, 60), "en", "hot", 0) for i in range(100, 1400)] + [(i, f"{common}\n{own(i, 60)}", "en", "small", 0) for i in range(2000, 2020)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, FOLDER).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == own(i, 60) for i in range(1, 40))
+    assert 40 not in got and len(got) == len(rows) - 1
+    assert all(common in got[i] for i in range(2000, 2020))  # 20 texts are not over the limit
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     row = out.agg(F.count("*").alias("n"), F.count_if(~F.col("intact")).alias("broken"), F.sum("n_tokens").alias("tokens")).first()
