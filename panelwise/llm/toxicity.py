@@ -10,7 +10,6 @@ score is a logistic function of how far its passages exceed that law.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +26,8 @@ from pyspark.sql import types as T
 from panelwise.llm.common import prepare, text_or_empty
 from panelwise.session import written
 
-#: Words are counted by hash in so many places; the tables of counts and scores have this size
-#: whatever the vocabulary, and a frequent word hardly notices the rare ones that share its place.
-PLACES = 1 << 22
-PARTS = 64
+#: Words of texts that a task holds before it hands their counts on.
+HELD = 1 << 19
 #: Weight of the prior as a share of the toxic counts; standard errors a word's log odds must
 #: exceed; the cost of each word, which keeps passages short.
 PRIOR_SHARE, ERRORS, DRIFT = 0.5, 2.0, 0.2
@@ -41,30 +38,44 @@ REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-class _Places(dict):
-    """Place of each word; of this worker."""
+class _Keys(dict):
+    """The 63 bits by which each word is known; of this worker."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        place = self[word] = xxhash.xxh3_64_intdigest(word.encode()) % PLACES
-        return place
+        key = self[word] = xxhash.xxh3_64_intdigest(word.encode()) >> 1
+        return key
 
 
-_places = _Places()
+_keys = _Keys()
 
 
-def word_places(text: str) -> np.ndarray:
-    """Place of each word of a text, lower-cased."""
-    return np.fromiter(map(_places.__getitem__, _WORD.findall(text.lower())), dtype=np.int64)
+def word_keys(text: str) -> np.ndarray:
+    """Key of each word of a text, lower-cased."""
+    return np.fromiter(map(_keys.__getitem__, _WORD.findall(text.lower())), dtype=np.int64)
+
+
+@dataclass(frozen=True)
+class Scores:
+    """Scores of words by their sorted keys; all other words have -DRIFT."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(words), -DRIFT, dtype=np.float32)
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        return np.where(self.keys[at] == words, self.values[at], np.float32(-DRIFT))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Score of each place, and the law of the best passage by chance: of n words it exceeds s with
+    """Scores of words, and the law of the best passage by chance: of n words it exceeds s with
     probability ``1 - exp(-k * n * exp(-decay * s))``."""
 
-    scores: np.ndarray
+    scores: Scores
     decay: float
     k: float
 
@@ -73,53 +84,60 @@ class Model:
 # learning
 
 
-def count_words(docs: DataFrame) -> np.ndarray:
-    """In how many texts each word is: rows for all texts, toxic ones, clean ones; columns: places.
-    ``docs`` has ``text`` and ``toxic`` (null: not labelled). A text that repeats a word counts
-    once, so one odd text cannot make its words toxic.
+def count_words(docs: DataFrame) -> DataFrame:
+    """In how many texts each word is: ``word`` (its key), ``every`` for all texts, ``toxic`` and
+    ``clean`` for labelled ones. ``docs`` has ``text`` and ``toxic`` (null: not labelled). A text
+    that repeats a word counts once, so one odd text cannot make its words toxic.
 
-    Tasks count into arrays of fixed size, which are packed, cut into parts and added up part by
-    part.
+    Tasks add up a bounded number of words at a time, and Spark the rest.
     """
 
+    def packed(words: list[np.ndarray], kinds: list[int]) -> pa.RecordBatch:
+        word, at = np.unique(np.concatenate(words), return_inverse=True)
+        kind = np.repeat(kinds, [len(w) for w in words])
+        counts = [np.bincount(x, minlength=len(word)) for x in (at, at[kind == 1], at[kind == 0])]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (word, *counts)], names=["word", "every", "toxic", "clean"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((3, PLACES), dtype=np.int64)
+        words, kinds, held = [], [], 0
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                places = np.unique(word_places(text))
-                counts[0, places] += 1
-                if toxic is not None:
-                    counts[1 if toxic else 2, places] += 1
-        if counts[0].any():
-            packed = [zlib.compress(np.ascontiguousarray(part).tobytes(), 1) for part in np.split(counts, PARTS, axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = np.frombuffer(zlib.decompress(packed), dtype=np.int64)
-                sums[part] = sums[part] + counts if part in sums else counts
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], names=["part", "counts"])
+                words.append(np.unique(word_keys(text)))
+                kinds.append(-1 if toxic is None else 1 if toxic else 0)
+                held += len(words[-1])
+                if held >= HELD:
+                    yield packed(words, kinds)
+                    words, kinds, held = [], [], 0
+        if held:
+            yield packed(words, kinds)
 
-    parts = docs.select("text", "toxic").mapInArrow(count, "part int, counts binary").repartition(PARTS, "part").mapInArrow(add, "part int, counts binary")
-    counts = np.zeros((PARTS, 3, PLACES // PARTS))
-    for row in parts.toLocalIterator():  # one row per part, of fixed size
-        counts[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64).reshape(3, -1)
-    return counts.transpose(1, 0, 2).reshape(3, PLACES)
+    each = docs.select("text", "toxic").mapInArrow(count, "word long, every long, toxic long, clean long")
+    return each.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("every", "toxic", "clean")))
 
 
-def word_scores(counts: np.ndarray) -> np.ndarray:
+def word_scores(counts: DataFrame) -> tuple[Scores, np.ndarray]:
     """Log odds of toxic against clean, less ERRORS standard errors (0 if that changes the sign),
-    less DRIFT. The prior is spread like the corpus."""
-    every, toxic, clean = counts
-    weight = max(1.0, PRIOR_SHARE * toxic.sum())
-    prior = weight * (every + 1e-3) / (every.sum() + 1e-3 * len(every))
-    odds = lambda c: np.log(c + prior) - np.log(c.sum() + weight - c - prior)
-    delta = odds(toxic) - odds(clean)
+    less DRIFT, and the clean counts of the same words. The prior is spread like the corpus.
+
+    Only words with a score of their own come to the driver: those of the labelled texts, which
+    are bounded, and those whose prior alone exceeds its error; the prior adds up to a share of the
+    toxic counts, so these are fewer still. Nothing comes without labels of both kinds.
+    """
+    totals = [float(n or 0) for n in counts.agg(*(F.sum(c) for c in ("every", "toxic", "clean"))).first()]
+    n_every, n_toxic, n_clean = totals
+    if not (n_toxic and n_clean):
+        return Scores(np.zeros(0, np.int64), np.zeros(0, np.float32)), np.zeros(0)
+    weight = max(1.0, PRIOR_SHARE * n_toxic)
+    share = weight / n_every * F.col("every")
+    alone = F.abs(F.log(n_clean + weight - share) - F.log(n_toxic + weight - share)) > ERRORS * F.sqrt(2 / share)
+    found = counts.where((F.col("toxic") + F.col("clean") > 0) | alone).toArrow().sort_by("word")
+    keys, every, toxic, clean = (found[c].to_numpy() for c in ("word", "every", "toxic", "clean"))
+    prior = weight * every / n_every
+    odds = lambda c, n: np.log(c + prior) - np.log(n + weight - c - prior)
+    delta = odds(toxic, n_toxic) - odds(clean, n_clean)
     error = np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
     sure = np.sign(delta) * np.maximum(np.abs(delta) - ERRORS * error, 0)
-    return (sure - DRIFT).astype(np.float32)
+    return Scores(keys, (sure - DRIFT).astype(np.float32)), clean.astype(np.float64)
 
 
 def decay_of(scores: np.ndarray, counts: np.ndarray) -> float:
@@ -174,23 +192,23 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("total", T.DoubleType())]))
 
 
-def passages(docs: DataFrame, scores: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+def passages(docs: DataFrame, scores: Scores, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_words`` and ``passages``: every maximal run of a text, as first and last
     character (end exclusive) and total. A null or empty text has none."""
-    table = docs.sparkSession.sparkContext.broadcast(scores)  # of fixed size
+    table = docs.sparkSession.sparkContext.broadcast(scores)  # of words in a bounded number of texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, found = [], []
             for value in batch.column(1).to_pylist():
-                places = word_places(value)
-                segments = maximal_segments(table.value[places])
+                words = word_keys(value)
+                segments = maximal_segments(table.value.of(words))
                 if segments:
                     spans = [m.span() for m in _WORD.finditer(value)]
-                    # Lower case may change how a rare letter counts; then places are of words.
-                    same = len(spans) == len(places)
+                    # Lower case may change how a rare letter counts; then ends are of words.
+                    same = len(spans) == len(words)
                     segments = [(spans[a][0] if same else a, spans[b - 1][1] if same else b, s) for a, b, s in segments]
-                counts.append(len(places))
+                counts.append(len(words))
                 found.append([dict(zip(("start", "end", "total"), s)) for s in segments])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("total", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["key", "n_words", "passages"])
@@ -243,12 +261,9 @@ def score_toxicity(
     fraction = most_labelled / max(1, known.count())
     known = F.broadcast(known.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < fraction * (1 << 30)))
     texts = docs.select(F.col(key).alias("of"), text_or_empty(text).alias("text")).join(known, "of", "left")
-    counts = count_words(texts)
-    scores = word_scores(counts)
-    if not (counts[1].any() and counts[2].any()):
-        scores = np.full(PLACES, -DRIFT, dtype=np.float32)
+    scores, clean_counts = word_scores(written(count_words(texts), "word-counts"))
     found = written(passages(docs, scores, key, text), "passages")
-    decay = decay_of(scores, counts[2])
+    decay = decay_of(scores.values, clean_counts)
 
     training = found.join(known, F.col(key) == F.col("of")).select("n_words", "passages", F.col("toxic").cast("double").alias("toxic"))
     clean = training.where("toxic = 0").agg(F.count("*").alias("n"), F.sum(F.greatest("n_words", F.lit(1)) * F.exp(-decay * _best())).alias("expected")).first()

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelwise.llm import minhash, mixing, topk, toxicity, warc
@@ -318,3 +319,21 @@ def test_toxicity_without_labels(spoken, nothing):
     for share, some in ((0.5, labels.limit(0)), (1.0, labels.where("toxic = 1")), (0.0, labels.where("toxic = 0"))):
         assert {r["score"] for r in toxicity.score_toxicity(docs, some, F.lit(True)).collect()} == {share}
     assert toxicity.score_toxicity(nothing, labels, F.lit(True)).count() == 0
+def test_words_share_no_counts(spark):
+    """Two words whose hashes agree in their last 22 bits, one in toxic texts, one in unlabelled ones."""
+    seen: dict[int, str] = {}
+    for i in range(100_000):
+        place = xxhash.xxh3_64_intdigest(f"x{i}".encode()) % (1 << 22)
+        if place in seen:
+            break
+        seen[place] = f"x{i}"
+    toxic, other = seen[place], f"x{i}"
+    pick = random.Random(4)
+    plain = lambda: [f"w{pick.randrange(200)}" for _ in range(60)]
+    docs = [(i, " ".join(plain() + [toxic] * 5 * (i % 5 == 0))) for i in range(300)] + [(1000, " ".join(plain() + [other] * 5)), (1001, " ".join(plain() + [toxic] * 5))]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, F.lit(True)).collect()}
+    assert score[1000] < 0.3 <= score[1001]
+
+
