@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.llm import byte_bpe, line_dedup, minhash, mixing, quality
+from panelwise.llm.common import WORD, text_or_empty
 from panelwise.session import written
 
 
@@ -51,12 +52,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text, and whether decoding them gives the text back."""
+    """Byte-level BPE ids of every text, a hash of their offsets, and whether decoding the ids
+    gives the text back."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     keyed = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")).alias("key"), "text")
-    encoded = byte_bpe.encode(keyed, ranks, public_tokenizers.PATTERN, key="key", offsets=False)
-    decoded = byte_bpe.decode(encoded.select(F.struct("key.*", "ids").alias("key"), "ids"), ranks, key="key")
-    return decoded.select("key.doc_id", F.size("key.ids").cast("bigint").alias("n_tokens"), "key.ids", (F.xxhash64("text") == F.col("key.content")).alias("intact"))
+    encoded = byte_bpe.encode(keyed, ranks, public_tokenizers.PATTERN, key="key")
+    decoded = byte_bpe.decode(encoded.select(F.struct("key.*", "ids", F.xxhash64("starts", "ends").alias("offsets_hash")).alias("key"), "ids"), ranks, key="key")
+    return decoded.select("key.doc_id", F.size("key.ids").cast("bigint").alias("n_tokens"), "key.ids", "key.offsets_hash", (F.xxhash64("text") == F.col("key.content")).alias("intact"))
 
 
 STAGES = [

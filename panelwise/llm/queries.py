@@ -88,13 +88,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, offsets=False)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode(
         encoded.select(
             F.struct(
                 "doc_id",
                 F.size("ids").cast("bigint").alias("n_tokens"),
                 F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                F.xxhash64("starts", "ends").alias("offsets_hash"),
             ).alias("key"),
             "ids",
         ),

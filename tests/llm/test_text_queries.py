@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from compare import connect, difference
+from panelwise.llm import byte_bpe
 from panelwise.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -67,6 +68,14 @@ def test_byte_bpe(spark, documents):
         assert (row["n_tokens"], row["ids_sha256"], row["decoded_sha256"]) == (len(ids), digest(" ".join(map(str, ids)).encode()), digest((doc["text"] or "").encode()))
 
 
+def test_byte_bpe_has_offsets(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    encoded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    expected = encoded.select("doc_id", F.xxhash64("starts", "ends")).collect()
+    got = QUERIES["op8_byte_bpe"](spark, FOLDER).select("doc_id", "offsets_hash").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+
+
 def test_mixing(spark, documents):
     got = QUERIES["op2_mixing"](spark, FOLDER).toPandas()
     source = {d["doc_id"]: d["source"] for d in documents}
