@@ -25,6 +25,7 @@ SHARD_ROWS, MOST_SHARDS = 512, 1 << 16
 #: The smallest target holds at least so many blocks, where words are the limit.
 LEAST_BLOCKS = 1024
 MOST_BLOCK_WORDS = 1024
+SEED = 17
 
 
 def apportion(units: DataFrame, group: str | None, seats: str, weight: str, most: str, order: str) -> DataFrame:
@@ -110,7 +111,7 @@ def mix(
     weights: tuple[float, ...] = (5, 2, 1),
     share: float = 1.5,
     repeats: int = 2,
-    seed: int = 17,
+    seed: int = SEED,
 ) -> DataFrame:
     """One row per document: ``key``, ``content`` (hash of its text), ``size`` in words,
     ``source_size``, ``target`` of its source, and ``taken``, the words the mixture takes.
@@ -151,10 +152,14 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes its words, to the nearest whole
-    time; so a document taken by less than half is left out, and one without words too."""
+    """The rows of ``docs``, each as often as the mixture takes its words. What is over
+    whole times counts as one more with its share of the document as the probability, by a seeded
+    hash, so that documents of every length come as often as the mixture asks on average; one
+    without words is left out."""
     taken = mix(docs, key, text, source, **options).groupBy(key, "content").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    taken = taken.select(F.col(key).alias("__id"), F.col("content").alias("__content"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("__times"))
+    draw = F.pmod(F.xxhash64(F.lit(options.get("seed", SEED) + 2), key, "content"), F.lit(1 << 30)) / (1 << 30)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0).cast("int")
+    taken = taken.select(F.col(key).alias("__id"), F.col("content").alias("__content"), times.alias("__times"))
     own = docs.select("*", F.xxhash64(text_or_empty(text)).alias("__own"))
     joined = own.join(taken.where("__times > 0"), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).drop("__time")

@@ -172,6 +172,16 @@ def test_mixed_documents(awkward):
     assert out.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 6  # three equal rows, twice each
 
 
+def test_long_documents_of_sources_taken_at_a_low_rate(spark):
+    """Each of 40 sources has one document with most of its words, and a third of them is to be taken."""
+    rows = [(100 * s, "long " * 800, f"s{s}") for s in range(40)] + [(100 * s + i, "a b c d e", f"s{s}") for s in range(40) for i in range(1, 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    out = [r["doc_id"] for r in mixing.mixed_documents(docs, weights=(1,), share=0.35).collect()]
+    long = sum(i % 100 == 0 for i in out)
+    words, target = 800 * long + 5 * (len(out) - long), 0.35 * 40 * 1000
+    assert 5 <= long <= 20 and abs(words - target) < 0.3 * target
+
+
 def test_mix_of_nothing(nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
