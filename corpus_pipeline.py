@@ -38,12 +38,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+    Texts without words are no copies and all stay."""
     found = minhash.near_duplicates(docs, minhash.Settings(words=5, percent=80))
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = found.where("first and n_shingles > 0").select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
+    words = text_or_empty("text").rlike(WORD)
+    own = docs.where(words).withColumn("__own", F.xxhash64("text"))
     one = own.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")), "left_semi")
-    return one.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    return one.dropDuplicates(["doc_id", "__own"]).select(*docs.columns).unionByName(docs.where(~words))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -363,10 +363,12 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Data
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``content`` (hash of its text), ``n_shingles``,
-    ``component_id``, the smallest key reachable over links, and ``kept``: whether that is its own.
+    ``component_id``, the smallest key reachable over links, ``kept``: whether that is its own, and
+    ``first``: whether it has the smallest key and content of its component.
 
     Null and empty texts, and texts of white space, have no shingle, are linked with nothing and
-    kept. Rows with the same set are linked, whatever their keys. A null key is larger than any
+    kept and first. Keys may repeat, so several texts of a component may be kept; only repeats of one
+    row are first together. Rows with the same set are linked, whatever their keys. A null key is larger than any
     other: such a row is kept only if no row with a key is in its component. Other columns are not
     read.
     """
@@ -409,9 +411,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     if not across.isEmpty():
         labels = components(links.unionByName(across))
 
-    least = _labelled(signed.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")), labels, "node", "component")
-    least = least.join(least.groupBy(F.col("component").alias("of")).agg(F.min("key").alias("component_id")), F.col("component") == F.col("of"))
-    least = least.select(F.col("node").alias("of_node"), "component_id")
+    least = _labelled(signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "content")).alias("row")), labels, "node", "component")
+    least = least.join(least.groupBy(F.col("component").alias("of")).agg(F.min("row").alias("least")), F.col("component") == F.col("of"))
+    least = least.select(F.col("node").alias("of_node"), F.col("least.key").alias("component_id"), F.col("least.content").alias("first_content"))
     joined = signed.select("key", "content", "n_shingles", "node").join(least, (F.col("node") == F.col("of_node")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return joined.select(F.col("key").alias(key), "content", "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    kept = F.col("key").eqNullSafe(component)
+    first = kept & ((F.col("n_shingles") == 0) | (F.col("content") == F.col("first_content")))
+    return joined.select(F.col("key").alias(key), "content", "n_shingles", component.alias("component_id"), kept.alias("kept"), first.alias("first"))

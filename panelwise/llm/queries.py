@@ -195,7 +195,7 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b)
 @query("op7_minhash_near_dedup", OP7_SQL)
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash.Settings(words=3, percent=85)
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings).drop("content")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings).drop("content", "first")
 
 
 OP4_SQL = """

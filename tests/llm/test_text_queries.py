@@ -131,6 +131,18 @@ def test_stages_keep_what_they_should(spark):
     assert ids(stages["drop_near_copies"](spark, twice, FOLDER)) == [1, 3, 4, 5]
 
 
+def test_one_row_of_each_group_of_near_copies(spark):
+    base = " ".join(f"a{i}" for i in range(100))
+    near, lone = base + " more", " ".join(f"b{i}" for i in range(90))
+    rows = [(5, base), (5, near), (5, base), (5, lone), (9, near), (None, lone + " x"), (None, "c d e"), (None, "C d e"), (None, ""), (None, ""), (None, None), (7, " \n"), (7, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["drop_near_copies"](spark, docs, FOLDER).collect()]
+    assert sum(r in ((5, base), (5, near)) for r in got) == 1 and (9, near) not in got
+    assert got.count((5, lone)) == 1 and (None, lone + " x") not in got
+    assert sum(r in ((None, "c d e"), (None, "C d e")) for r in got) == 1
+    assert sorted(map(repr, (r for r in got if not (r[1] or "").strip()))) == sorted(map(repr, rows[-5:]))
+
+
 def test_boilerplate_of_a_large_source_goes(spark):
     """A line in 3 % of a source with nearly all rows, and texts made of little else."""
     own = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n))
