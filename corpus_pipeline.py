@@ -71,7 +71,8 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: Seeded hashes and learned merges are not SQL; the stages are tested against brute force.
+#: Seeded hashes and learned merges are not SQL. The operator of each stage is tested against brute
+#: force; the rows of run() as a whole are not yet compared with anything.
 ORACLE_SQL = None
 
 
