@@ -3,14 +3,15 @@ its contract from the operator's output. ``SQL`` holds the same in DuckDB where
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import byte_bpe, line_dedup, minhash, mixing, quality, secrets, token_files, topk, toxicity, warc
-from panelwise.llm.common import new_folder, prepare
+from panelwise.llm import byte_bpe, language, line_dedup, merkle, minhash, mixing, periodic, quality, secrets, token_files, topk, toxicity, warc
+from panelwise.llm.common import WORD, new_folder, prepare, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -214,3 +215,107 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("vec_id", topk.floored("embedding", 256.0).alias("vector"))
     best = topk.exact_top_k(rows, F.col("vec_id") % 50 == 0, k=5)
     return best.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("bigint").alias("score"))
+
+
+#: CRC-32 of a decimal doc_id, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: list_transform(range(8), lambda k: (ascii(c) >> k) & 1))), lambda r, b: xor(r >> 1, (xor(r, b) & 1) * 3988292384), 4294967295))"""
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+  {_leaf_sql("CASE WHEN " + CRC_SQL + " % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")} AS other FROM documents),
+leaves AS (SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY lang) AS n FROM d),
+up AS (SELECT tree, 0 AS level, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, pos, n, h FROM subroots
+  UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 8, n),
+-- The root of a tree is a leaf of the uppermost tree, and goes by the name it has there.
+every AS (SELECT tree, level, up.pos, up.n, up.h, CASE WHEN up.n = 1 THEN '^/0/' || s.pos ELSE tree || '/' || level || '/' || up.pos END AS name FROM up JOIN subroots s USING (tree)
+  UNION ALL SELECT '^', level, pos, n, h, '^/' || level || '/' || pos FROM top),
+steps AS (SELECT a.name, p.name AS parent, string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos) AS l, string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos) AS r
+  FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 JOIN every p ON p.tree = a.tree AND p.level = a.level + 1 AND p.pos = a.pos // 8 GROUP BY 1, 2),
+walk AS (SELECT doc_id, leaf, leaves.tree, name, other AS h, '' AS proof FROM leaves JOIN every ON every.tree = leaves.tree AND every.level = 0 AND every.pos = leaves.pos
+  UNION ALL SELECT doc_id, leaf, tree, parent, sha256(coalesce(l, '') || walk.h || coalesce(r, '')), proof || coalesce(l, '') || coalesce(r, '') FROM walk JOIN steps USING (name))
+SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, walk.h AS folded_root, walk.h = root.h AS verified
+FROM walk JOIN subroots s USING (tree) JOIN every root ON root.tree = '^' AND root.n = 1 AND walk.name = root.name
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower).otherwise(F.col("text"))
+    trees = merkle.build_manifest(docs, fields, "lang", "doc_id", {"other": merkle.leaf_digest([*fields[:-1], tampered])})
+    folded = merkle.fold_proof(F.col("carried.other"), F.col("proof"))
+    proved = trees.proofs().select(
+        F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP13_SQL = rf"""
+WITH t AS (SELECT doc_id, {CRC_SQL} AS h, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, coalesce(h % 10 = 0, FALSE) AND len(ws) > 0 AS again, 3 + (h // 10) % 8 AS parts FROM t),
+w AS (SELECT doc_id, CASE WHEN again THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE ws END AS ws FROM s),
+-- Words that are the same q words later stand five and more in a row in every run.
+five AS (SELECT doc_id, i, hash(ws[i + 1:i + 5]) AS x, len(ws) AS n FROM (SELECT doc_id, ws, unnest(range(len(ws) - 4)) AS i FROM w)),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM five a JOIN five b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS b, count(*) + 4 + q AS size FROM islands GROUP BY doc_id, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, b, size, min(q) AS q FROM stretches GROUP BY doc_id, b, size),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(size AS DOUBLE) / q DESC, b, q) = 1),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(b || ',' || size || ',' || q || chr(10), '' ORDER BY b, q) AS t FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b + q, b + size)) AS i FROM runs),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w WHERE doc_id IN (SELECT doc_id FROM runs)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, coalesce(listed.n, 0) AS n_runs, b AS "start", size AS length, q AS period, CAST(1000 * size // q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(CASE WHEN listed.n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept.t, '') END) AS collapsed_sha256
+FROM w LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
+    # Some texts repeat themselves from a word on.
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10).cast("bigint"), F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    first = lambda n: g % n
+    period = lambda n: 1 + F.floor((n - first(n)) / (3 + g % 8)).cast("bigint")
+
+    def repeated(ws):
+        n = F.size(ws).cast("bigint")
+        place = lambda i: F.when(i < first(n), i).otherwise(first(n) + (i - first(n)) % period(n))
+        return F.array_join(F.transform(ws, lambda _, i: F.get(ws, place(i).cast("int"))), " ")
+
+    again = F.coalesce(h % 10 == 0, F.lit(False)) & F.col("text").rlike(WORD)
+    found = periodic.periodic_runs(docs.withColumn("text", F.when(again, repeated(words)).otherwise(F.col("text"))))
+    best = F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("order"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.get(best, F.lit(0))
+    return found.select(
+        "carried.doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    found = language.predict_language(docs, ~F.col("held_out"), carry=("doc_id", "held_out"))
+    return found.select("carried.*", "lang_pred", "score")
