@@ -287,19 +287,18 @@ FROM w LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN k
 @query("op13_periodic_runs", OP13_SQL)
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
-    # Some texts repeat themselves from a word on.
+    # Some texts repeat themselves from word ``first`` on, every ``period`` words.
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    g, words = F.floor(h / 10).cast("bigint"), F.regexp_extract_all("text", F.lit(f"({WORD})"))
-    first = lambda n: g % n
-    period = lambda n: 1 + F.floor((n - first(n)) / (3 + g % 8)).cast("bigint")
-
-    def repeated(ws):
-        n = F.size(ws).cast("bigint")
-        place = lambda i: F.when(i < first(n), i).otherwise(first(n) + (i - first(n)) % period(n))
-        return F.array_join(F.transform(ws, lambda _, i: F.get(ws, place(i).cast("int"))), " ")
-
     again = F.coalesce(h % 10 == 0, F.lit(False)) & F.col("text").rlike(WORD)
-    found = periodic.periodic_runs(docs.withColumn("text", F.when(again, repeated(words)).otherwise(F.col("text"))))
+    words = docs.withColumn("words", F.when(again, F.regexp_extract_all("text", F.lit(f"({WORD})"))))
+    g, n = F.floor(h / 10).cast("bigint"), F.size("words").cast("bigint")
+    placed = words.withColumns({"n": n.cast("int"), "first": (g % n).cast("int")})
+    placed = placed.withColumn("period", 1 + F.floor((F.col("n") - F.col("first")) / (3 + g % 8)).cast("int"))
+    rest = F.col("n") - F.col("first")
+    block = F.slice("words", F.col("first") + 1, F.col("period"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(rest / F.col("period")).cast("int"))), F.lit(1), rest)
+    repeated = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("first")), tail), " ")
+    found = periodic.periodic_runs(placed.withColumn("text", F.when(F.col("words").isNotNull(), repeated).otherwise(F.col("text"))))
     best = F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("order"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
     best = F.get(best, F.lit(0))
