@@ -33,7 +33,7 @@ from checks.roles import (
     survey,
 )
 from checks.table_queries import _mode_sql
-from panelwise.operators import explain, metrics, models, prepare
+from panelwise.operators import boosting, explain, forests, metrics, models, prepare
 from panelwise.options import Training
 from panelwise.plans.pipeline import feature_table, with_row_key
 
@@ -188,18 +188,78 @@ def _(t: Tables):
     return models.scores_table(t.spark, {"quality": done})
 
 
+@query("train_default")
+def _(t: Tables):
+    """All classifiers at the default settings: 100 trees without a limit of depth, 100 rounds, a
+    network of 256-128-64, five folds."""
+    done = models.train_classifiers(_text_input(t), "doc_id", "quality")
+    return models.scores_table(t.spark, {"quality": done})
+
+
 @query("train_multiclass")
 def _(t: Tables):
-    wide = t.embeddings.select(
-        "vec_id", (F.col("label") % 3).alias("label3"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)]
-    )
-    data = prepare.model_input(wide, "label3", "vec_id", features=[f"x{i}" for i in range(8)])
-    done = models.train_classifiers(
-        data, "vec_id", "label3", Training(trees=10, max_depth=4, boost_rounds=5), ("random_forest", "gradient_boosting", "logistic_regression"), validate=False
-    )
+    size = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"x{i}" for i in range(size)]
+    wide = t.embeddings.select("vec_id", (F.col("label") % 3).alias("label3"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)])
+    data = prepare.model_input(wide, "label3", "vec_id", features=names)
+    done = models.train_classifiers(data, "vec_id", "label3", Training(trees=10, boost_rounds=5), ("random_forest", "gradient_boosting", "logistic_regression"), validate=False)
     return models.scores_table(t.spark, {"label3": done})
 
 
+_ONE_TREE = dict(trees=1, bootstrap=False, task_rows=4_000)
+
+
+@query(
+    "exact_tree",
+    f"""WITH {LABELLED_SQL} SELECT doc_id,
+    CAST(CASE WHEN 2 * sum(quality) OVER same > count(*) OVER same THEN 1 ELSE 0 END AS DOUBLE) AS prediction
+    FROM labelled WINDOW same AS (PARTITION BY n_chars, n_spaces)""",
+)
+def _(t: Tables):
+    """A tree without limits tells all rows apart that differ: it predicts the class of most rows
+    with the same values."""
+    rows = prepare.assemble(labelled(t).withColumns({"label": F.col("quality").cast("double"), "weight": F.lit(1.0)}), ["n_chars", "n_spaces"])
+    rows = rows.select("doc_id", "label", "weight", "features")
+    return forests.grow_forest(rows, "doc_id", forests.Growth(2, **_ONE_TREE)).transform(rows).select("doc_id", "prediction")
+
+
+@query(
+    "exact_regression_tree",
+    f"""WITH o AS (SELECT o_orderkey, ln(1 + o_totalprice) AS y, month(o_orderdate) AS m, o_custkey % 50 AS band, length(o_orderpriority) AS p FROM orders)
+    SELECT o_orderkey, {r6('avg(y) OVER (PARTITION BY m, band, p)', 'prediction')} FROM o""",
+)
+def _(t: Tables):
+    """Beyond 4,000 rows the upper part of the tree comes from histograms; the leaves are the same."""
+    rows = t.orders.select(
+        "o_orderkey", F.log1p("o_totalprice").alias("label"), F.lit(1.0).alias("weight"),
+        F.month("o_orderdate").cast("double").alias("m"), (F.col("o_custkey") % 50).cast("double").alias("band"), F.length("o_orderpriority").cast("double").alias("p"),
+    )
+    rows = prepare.assemble(rows, ["m", "band", "p"]).select("o_orderkey", "label", "weight", "features")
+    return forests.grow_forest(rows, "o_orderkey", forests.Growth(None, **_ONE_TREE)).transform(rows).select("o_orderkey", "prediction")
+
+
+@query(
+    "boosted_stumps",
+    f"""WITH d AS (SELECT c_nationkey % 3 AS y, c_acctbal AS f0, CAST(c_custkey % 7 AS DOUBLE) AS f1 FROM customer),
+    prior AS (SELECT y AS k, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM d GROUP BY y),
+    cells AS (SELECT k, 0 AS f, f0 AS x, CASE WHEN y = k THEN 1.0 ELSE 0.0 END - p AS r FROM d, prior
+      UNION ALL SELECT k, 1, f1, CASE WHEN y = k THEN 1.0 ELSE 0.0 END - p FROM d, prior),
+    v AS (SELECT k, f, x, count(*) AS n, sum(r) AS s, sum(abs(r) * (1 - abs(r))) AS h FROM cells GROUP BY k, f, x),
+    c AS (SELECT k, f, x, lead(x) OVER w AS nx, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(h) OVER w AS lh,
+      sum(n) OVER e AS n, sum(s) OVER e AS s, sum(h) OVER e AS h FROM v WINDOW w AS (PARTITION BY k, f ORDER BY x), e AS (PARTITION BY k, f)),
+    best AS (SELECT * FROM c WHERE nx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY ls * ls / ln + (s - ls) * (s - ls) / (n - ln) DESC, f, x) = 1)
+    SELECT CAST(k AS INTEGER) AS class_index, CAST(f AS INTEGER) AS feature, {r6('(x + nx) / 2', 'threshold')},
+    round(2.0 / 3 * ls / lh, 5) + 0.0 AS left_step, round(2.0 / 3 * (s - ls) / (h - lh), 5) + 0.0 AS right_step FROM best""",
+)
+def _(t: Tables):
+    """One round of trees with one split, and the Newton steps of their leaves."""
+    rows = t.customer.select("c_custkey", (F.col("c_nationkey") % 3).cast("double").alias("label"), F.col("c_acctbal").alias("f0"), (F.col("c_custkey") % 7).cast("double").alias("f1"))
+    fitted = boosting.BoostingEstimator("c_custkey", boosting.Boosting(3, rounds=1, max_depth=1)).fit(prepare.assemble(rows, ["f0", "f1"]))
+    trees = fitted.rounds[0]
+    cells = [(k, int(trees.feature[r]), float(trees.threshold[r]), *(round(float(trees.step[c[r]]), 5) for c in (trees.left, trees.right))) for k, r in enumerate(trees.roots)]
+    return t.spark.createDataFrame(cells, "class_index int, feature int, threshold double, left_step double, right_step double")
+
+
 def _order_input(t: Tables):
     rows = t.orders.select(
         "o_orderkey",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from panelwise.functions.hashing import as_key, mix
+from panelwise.operators.forests import Forest
 from panelwise.operators.ranking import exact_quantiles
 from panelwise.options import Explaining
 from panelwise.session import new_table_path, written
@@ -96,24 +97,27 @@ class Ensemble:
     n_features: int
 
 
-MAX_NODES = 20_000_000
+#: Some 128 bytes each: a quarter of a gigabyte.
+MAX_NODES = 2_000_000
 
 
-def read_ensemble(model: Model, n_features: int) -> Ensemble:
+def read_ensemble(model: Model | Forest, n_features: int) -> Ensemble:
     """Node tables of a fitted forest or boosted model, read from its saved form.
 
     The size is that of the model, not of the data; it is checked because it is broadcast.
     """
-    spark = model._java_obj and _session()
-    path = new_table_path(spark, "model")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
+    if isinstance(model, Forest):
+        nodes = model.nodes
+    else:
+        path = new_table_path(_session(), "model")
+        model.write().overwrite().save(path)
+        nodes = _session().read.parquet(f"{path}/data")
     if nodes.count() > MAX_NODES:
         raise ValueError("the ensemble has too many nodes to be sent to every executor")
-    table = nodes.select("treeID", "nodeData.*").toPandas()
+    table = model.node_table() if isinstance(model, Forest) else nodes.select("treeID", "nodeData.*").toPandas()
     weights = list(getattr(model, "treeWeights", [])) or None
     n_trees = table["treeID"].nunique()
-    classifier = hasattr(model, "numClasses")
+    classifier = getattr(model, "numClasses", None) is not None
     boosted = "GBT" in type(model).__name__
     if weights is None:
         weights = [1.0] * n_trees
@@ -346,7 +350,7 @@ def sampled_attribution(
 def attribution_kind(model: Model) -> str:
     """Which attribution fits a model: ``tree``, ``linear`` or ``sampled``."""
     name = type(model).__name__
-    if "RandomForest" in name or "GBT" in name:
+    if "Forest" in name or "GBT" in name:
         return "tree"
     if "Linear" in name or "Logistic" in name:
         return "linear"

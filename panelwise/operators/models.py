@@ -1,4 +1,4 @@
-"""Classifiers and regressors on MLlib, their scores, validation and importances."""
+"""Classifiers and regressors, on MLlib and the library's own, their scores, validation and importances."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +21,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwise.operators.boosting import Boosting, BoostingEstimator
+from panelwise.operators.forests import ForestEstimator, Growth
 from panelwise.operators.metrics import (
     classification_report,
     classification_scores,
@@ -30,12 +30,23 @@ from panelwise.operators.metrics import (
     regression_scores,
     roc_auc,
 )
+from panelwise.operators.networks import NetworkEstimator, NetworkSettings
 from panelwise.operators.prepare import ModelInput, class_counts, model_input, stratified_folds
 from panelwise.options import Training
 from panelwise.session import written
 
 
-def forest_classifier(opts: Training) -> Estimator:
+#: Deepest tree of MLlib's forests.
+BINNED_DEPTH = 30
+
+
+def _growth(opts: Training, classes: int | None) -> Growth:
+    return Growth(classes, opts.trees, opts.max_depth, opts.min_split, opts.min_leaf, seed=opts.seed)
+
+
+def forest_classifier(opts: Training, key: str | None = None, n_classes: int = 2) -> Estimator | ForestEstimator:
+    if opts.max_depth is None or opts.max_depth > BINNED_DEPTH:
+        return ForestEstimator(key, _growth(opts, n_classes), "sqrt")
     return RandomForestClassifier(
         numTrees=opts.trees,
         maxDepth=opts.max_depth,
@@ -46,12 +57,12 @@ def forest_classifier(opts: Training) -> Estimator:
     )
 
 
-def boosted_classifier(opts: Training, n_classes: int) -> Estimator:
-    """Boosted trees; more than two classes are learnt one against the rest."""
-    booster = GBTClassifier(
-        maxIter=opts.boost_rounds, maxDepth=min(opts.max_depth, opts.boost_depth), seed=opts.seed
-    )
-    return booster if n_classes <= 2 else OneVsRest(classifier=booster)
+def boosted_classifier(opts: Training, n_classes: int, key: str | None = None) -> Estimator | BoostingEstimator:
+    """Boosted trees; more than two classes are learnt together."""
+    depth = min(opts.max_depth or opts.boost_depth, opts.boost_depth)
+    if n_classes <= 2:
+        return GBTClassifier(maxIter=opts.boost_rounds, maxDepth=depth, seed=opts.seed)
+    return BoostingEstimator(key, Boosting(n_classes, opts.boost_rounds, max_depth=depth, min_leaf=opts.min_leaf, seed=opts.seed))
 
 
 def logistic_classifier(opts: Training, total_weight: float) -> Estimator:
@@ -65,13 +76,17 @@ def logistic_classifier(opts: Training, total_weight: float) -> Estimator:
     )
 
 
-def network_classifier(opts: Training, n_features: int, n_classes: int) -> Estimator:
-    return MultilayerPerceptronClassifier(
-        layers=[n_features, *opts.hidden, n_classes], maxIter=opts.network_iterations, seed=opts.seed
+def network(opts: Training, key: str, n_classes: int | None) -> NetworkEstimator:
+    """A network over the classes, or for a number if ``n_classes`` is None."""
+    settings = NetworkSettings(
+        n_classes, opts.hidden, opts.dropout, opts.network_rate, opts.network_batch, opts.network_iterations, patience=opts.network_patience, seed=opts.seed
     )
+    return NetworkEstimator(key, settings)
 
 
-def forest_regressor(opts: Training) -> Estimator:
+def forest_regressor(opts: Training, key: str | None = None) -> Estimator | ForestEstimator:
+    if opts.max_depth is None or opts.max_depth > BINNED_DEPTH:
+        return ForestEstimator(key, _growth(opts, None), "all")
     return RandomForestRegressor(
         numTrees=opts.trees,
         maxDepth=opts.max_depth,
@@ -147,7 +162,7 @@ def _validate(
     classification: bool,
 ) -> list[float]:
     """Score of each held-out fold: weighted F1 for classes, R2 otherwise."""
-    folded = stratified_folds(train, key, "label" if classification else None, folds, seed).persist()
+    folded = written(stratified_folds(train, key, "label" if classification else None, folds, seed), "folds")
 
     def held_out(fold: int) -> float:
         part = folded.where(F.col("fold") != fold)
@@ -156,10 +171,7 @@ def _validate(
             return classification_scores(predicted, "label", "prediction").first()["f1_score"]
         return regression_scores(predicted, "label", "prediction").first()["r2_score"]
 
-    try:
-        return _at_once(train.sparkSession, [partial(held_out, fold) for fold in range(folds)])
-    finally:
-        folded.unpersist()
+    return _at_once(train.sparkSession, [partial(held_out, fold) for fold in range(folds)])
 
 
 def _cv_scores(name: str, values: list[float]) -> list[tuple[str, str, float]]:
@@ -182,12 +194,12 @@ def train_classifiers(
     train, test = prepared.train, prepared.test
     n_classes = len(data.classes or [])
     makers: dict[str, Callable[[DataFrame], Estimator]] = {
-        "random_forest": lambda rows: forest_classifier(opts),
-        "gradient_boosting": lambda rows: boosted_classifier(opts, n_classes),
+        "random_forest": lambda rows: forest_classifier(opts, key, n_classes),
+        "gradient_boosting": lambda rows: boosted_classifier(opts, n_classes, key),
         "logistic_regression": lambda rows: logistic_classifier(
             opts, rows.agg(F.sum("weight")).first()[0]
         ),
-        "neural_network": lambda rows: network_classifier(opts, len(data.features), n_classes),
+        "neural_network": lambda rows: network(opts, key, n_classes),
     }
     done = Trained(task, prepared)
     n_true = len(class_counts(test, "label"))
@@ -214,7 +226,7 @@ def train_regressors(
     key: str,
     task: str = "regression",
     opts: Training = Training(),
-    names: tuple[str, ...] = ("random_forest", "ridge"),
+    names: tuple[str, ...] = ("random_forest", "ridge", "neural_network"),
     validate: bool = True,
 ) -> Trained:
     """Fit and score the named regressors; cross-validate the one with the highest R2."""
@@ -224,7 +236,11 @@ def train_regressors(
         return ridge_regressor(opts, row["n"], row["s"])
 
     prepared = ModelInput(written(data.rows, "model-input"), data.features, None, data.scaler)
-    makers = {"random_forest": lambda rows: forest_regressor(opts), "ridge": ridge}
+    makers = {
+        "random_forest": lambda rows: forest_regressor(opts, key),
+        "ridge": ridge,
+        "neural_network": lambda rows: network(opts, key, None),
+    }
     done = Trained(task, prepared, classification=False)
 
     def fit(name: str):

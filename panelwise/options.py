@@ -31,13 +31,15 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class Training:
-    """Split, model and validation settings."""
+    """Split, model and validation settings. ``max_depth`` None is no limit: forests then grow on
+    exact split points; with a limit they are MLlib's, on binned ones."""
 
     test_size: float = 0.2
     seed: int = 42
     folds: int = 5
     trees: int = 100
-    max_depth: int = 10
+    max_depth: int | None = None
+    min_split: int = 2
     min_leaf: int = 1
     boost_rounds: int = 100
     boost_depth: int = 5
@@ -45,6 +47,10 @@ class Training:
     ridge_alpha: float = 1.0
     hidden: tuple[int, ...] = (256, 128, 64)
     network_iterations: int = 50
+    dropout: float = 0.3
+    network_rate: float = 0.001
+    network_batch: int = 64
+    network_patience: int = 5
     scale: bool = True
     polynomial_degree: int = 2
     interactions: bool = True
@@ -55,7 +61,9 @@ class Training:
         _need(0 < self.test_size < 1, "test_size must be between 0 and 1")
         _need(self.trees > 0, "trees must be positive")
         _need(self.folds >= 2, "folds must be at least 2")
-        _need(0 < self.max_depth <= 30, "max_depth must be between 1 and 30")
+        _need(self.max_depth is None or self.max_depth > 0, "max_depth must be positive, or None")
+        _need(self.min_split >= 2, "min_split must be at least 2")
+        _need(0 <= self.dropout < 1, "dropout must be between 0 and 1")
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
 # Trained on every run and compared by rows only: checked in test_models.
-SLOW = {"train_classifiers", "train_multiclass", "train_regressors", "explained_forest", "model_importance", "balanced_feature_table"}
+SLOW = {"train_default", "train_classifiers", "train_multiclass", "train_regressors", "explained_forest", "model_importance", "balanced_feature_table"}
 
 SQL_TYPES = {
     "bigint": "BIGINT",
