@@ -36,6 +36,7 @@ from checks.table_queries import _mode_sql
 from panelwise.operators import boosting, explain, forests, metrics, models, prepare
 from panelwise.options import Training
 from panelwise.plans.pipeline import feature_table, with_row_key
+from panelwise.session import new_table_path
 
 # --------------------------------------------------------------------------------------------
 # scores of fixed rules
@@ -223,6 +224,20 @@ def _(t: Tables):
     return forests.grow_forest(rows, "doc_id", forests.Growth(2, **_ONE_TREE)).transform(rows).select("doc_id", "prediction")
 
 
+@query(
+    "reloaded_model",
+    f"""WITH {LABELLED_SQL} SELECT doc_id, CAST(CASE WHEN 2 * sum(quality) OVER same > count(*) OVER same THEN 1 ELSE 0 END AS DOUBLE) AS prediction
+    FROM labelled WINDOW same AS (PARTITION BY n_chars)""",
+)
+def _(t: Tables):
+    """A model that predicts after it was saved and loaded."""
+    rows = prepare.assemble(labelled(t).withColumns({"label": F.col("quality").cast("double"), "weight": F.lit(1.0)}), ["n_chars"])
+    rows = rows.select("doc_id", "label", "weight", "features")
+    path = new_table_path(t.spark, "model")
+    forests.grow_forest(rows, "doc_id", forests.Growth(2, trees=1, bootstrap=False)).write().overwrite().save(path)
+    return forests.Forest.load(path).transform(rows).select("doc_id", "prediction")
+
+
 @query(
     "exact_regression_tree",
     f"""WITH o AS (SELECT o_orderkey, ln(1 + o_totalprice) AS y, month(o_orderdate) AS m, o_custkey % 50 AS band, length(o_orderpriority) AS p FROM orders)

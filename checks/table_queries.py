@@ -28,10 +28,13 @@ from panelwise.operators import joins, missing, prepare, quality
 from panelwise.operators.balance import balance_classes, interpolated_rows, minority_class
 from panelwise.operators.neighbors import nearest_neighbors
 from panelwise.options import Thresholds, Training
-from panelwise.schemas import TrialTable
+from panelwise.schemas import LAB_RESULTS, TRIAL_TABLES, TrialTable
 from panelwise.session import new_table_path, written
-from panelwise.sources.delimited import read_delimited, read_dump, write_dump
-from panelwise.sources.stages import load_optional, load_table, reuse, save_table
+from panelwise.sources.delimited import read_delimited, read_dump, read_with_rejects, write_dump
+from panelwise.sources.folders import list_folder, move
+from panelwise.sources.stages import final_report, load_optional, load_table, reuse, save_table
+from panelwise.sources.studies import lab_panel, read_lab_results, read_study_table
+from panelwise.sources.xport import read_xport, write_xport
 from panelwise.sources.synthetic import survey_from_ids, trial_from_ids
 from panelwise.vocabulary import ANALYTE_CODES
 
@@ -512,6 +515,131 @@ def _(t: Tables):
     return reuse(first.where("n_orders < 0"), [t.orders], "order-totals", folder)  # the stored copy, not this plan
 
 
+@query(
+    "transport_roundtrip",
+    f"""SELECT CAST(o_orderkey AS DOUBLE) AS okey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, {r6('-CAST(o_custkey AS DOUBLE) / 3', 'share')},
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS prio FROM orders""",
+)
+def _(t: Tables):
+    """Written as transport files of a task each, read by ranges of some hundred rows."""
+    rows = t.orders.select(
+        F.col("o_orderkey").cast("double").alias("okey"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"),
+        (-F.col("o_custkey").cast("double") / 3).alias("share"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("prio"),
+    )
+    folder = new_table_path(t.spark, "transport")
+    write_xport(rows, folder)
+    return read_xport(t.spark, [p for p, _, _ in list_folder(t.spark, folder) if p.endswith(".xpt")], range_bytes=1 << 17)
+
+
+_TORN_SQL = """torn AS (SELECT *, CASE WHEN o_orderkey % 89 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS cust,
+  o_orderkey % 97 = 0 AS extra, o_orderkey % 83 = 0 AS short FROM orders)"""
+
+
+@query(
+    "delimited_rejects",
+    f"""WITH {_TORN_SQL}, kept AS (SELECT * FROM torn WHERE NOT extra)
+    SELECT 'row' AS kind, o_orderkey, CAST(try_cast(cust AS BIGINT) AS BIGINT) AS o_custkey, CASE WHEN NOT short THEN o_orderstatus END AS o_orderstatus, NULL AS reason, NULL AS row_kept FROM kept
+    UNION ALL SELECT 'reject', o_orderkey, NULL, NULL, 'too many fields: 4 of 3', FALSE FROM torn WHERE extra
+    UNION ALL SELECT 'reject', o_orderkey, NULL, NULL, 'o_custkey: ''n/a'' is no bigint', TRUE FROM kept WHERE cust = 'n/a'""",
+)
+def _(t: Tables):
+    """Lines with a field too many, too few, or a number that is none."""
+    key = F.col("o_orderkey")
+    fields = [
+        key.cast("string"),
+        F.when(key % 89 == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string")),
+        F.when(key % 83 != 0, F.col("o_orderstatus")),
+        F.when(key % 97 == 0, F.when(key % 83 != 0, F.lit("more")).otherwise(F.lit("\tmore"))),
+    ]
+    path = new_table_path(t.spark, "torn")
+    head = t.spark.range(0, 1, 1, 1).select(F.lit("o_orderkey\to_custkey\to_orderstatus").alias("value"))
+    # Each file begins with the header.
+    lines = t.orders.select(F.concat_ws("\t", *fields).alias("value"), F.spark_partition_id().alias("part"))
+    headed = lines.select("value", "part", F.lit(1).alias("place")).unionByName(
+        lines.select("part").distinct().join(head).select("value", "part", F.lit(0).alias("place"))
+    )
+    headed.repartition("part").sortWithinPartitions("part", "place").select("value", "part").write.partitionBy("part").text(path)
+    schema = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").schema
+    files = [p for folder, _, _ in list_folder(t.spark, path) if "part=" in folder for p, _, _ in list_folder(t.spark, folder) if p.endswith(".txt")]
+    rows, rejects = read_with_rejects(t.spark, files, schema)
+    none = lambda kind: F.lit(None).cast(kind)
+    first = F.split("line", "\t")[0].cast("bigint")
+    wrong = rejects.select(F.lit("reject").alias("kind"), first.alias("o_orderkey"), none("bigint").alias("o_custkey"), none("string").alias("o_orderstatus"), "reason", "row_kept")
+    return rows.select(F.lit("row").alias("kind"), "o_orderkey", "o_custkey", "o_orderstatus", none("string").alias("reason"), none("boolean").alias("row_kept")).unionByName(wrong)
+
+
+def _move_parts(t: Tables, folder: str, place) -> None:
+    parts = sorted(p for p, _, _ in list_folder(t.spark, folder) if p.rsplit("/", 1)[-1].startswith("part-"))
+    for i, path in enumerate(parts):
+        move(t.spark, path, place(i))
+
+
+@query(
+    "study_tables",
+    """SELECT 'SUB' || c_custkey AS subject_accession, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS gender, CAST(c_nationkey AS INTEGER) AS workspace_id,
+    CASE c_custkey % 3 WHEN 0 THEN 'SDY1513' ELSE 'SDY1520' END AS study FROM customer WHERE c_custkey % 3 < 2""",
+)
+def _(t: Tables):
+    """One study as tab exports, with a dump that must not be read; one as a dump only."""
+    root = new_table_path(t.spark, "studies")
+    names = [f.name for f in TRIAL_TABLES["subject"].schema.fields]
+    given = {
+        "subject_accession": F.concat(F.lit("SUB"), F.col("c_custkey").cast("string")),
+        "gender": F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")),
+        "workspace_id": F.col("c_nationkey").cast("string"),
+    }
+    rows = t.customer.select((F.col("c_custkey") % 3).alias("part"), *[given.get(n, F.lit(None).cast("string")).alias(n) for n in names])
+    part = lambda n: rows.where(F.col("part") == n).select(*names)
+    part(0).toDF(*[n.upper() for n in names]).write.option("header", True).option("sep", "\t").csv(f"{root}-tab")
+    _move_parts(t, f"{root}-tab", lambda i: f"{root}/A {i}/SDY1513-X_Tab/Tab/subject.txt")
+    for n, study in ((1, "SDY1520"), (2, "SDY1513")):
+        write_dump(part(n), f"{root}-dump-{n}")
+        _move_parts(t, f"{root}-dump-{n}", lambda i, study=study: f"{root}/B {i}/{study}-X_MySQL/MySQL/subject.txt")
+    return read_study_table(t.spark, root, "subject").select("subject_accession", "gender", "workspace_id", "study")
+
+
+@query(
+    "lab_files",
+    f"""WITH lab AS (SELECT DISTINCT 'SUB' || o_custkey AS subject_accession, o_orderstatus, month(o_orderdate) AS visit, o_totalprice FROM orders WHERE o_orderstatus <> 'P')
+    SELECT subject_accession, {r6("avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END)", '"F_IGE"')},
+    {r6("avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END)", '"O_IGE"')} FROM lab GROUP BY 1""",
+)
+def _(t: Tables):
+    """Laboratory files that lie in two places, averaged by subject and antigen."""
+    root = new_table_path(t.spark, "studies")
+    names = [f.name for f in LAB_RESULTS.schema.fields]
+    given = {
+        "Accession": F.concat(F.lit("SUB"), F.col("o_custkey").cast("string")),
+        "VISNO": F.month("o_orderdate").cast("string"),
+        "IGEANTIG": F.col("o_orderstatus"),
+        "IGEANTIB": F.lit("IGE"),
+        "IGERESL": F.col("o_totalprice").cast("string"),
+    }
+    rows = t.orders.where("o_orderstatus <> 'P'").select(*[given.get(n, F.lit(None).cast("string")).alias(n) for n in names])
+    for copy in ("StudyFiles", "StudyFiles/Again"):
+        rows.write.option("header", True).option("sep", "\t").csv(f"{root}-{copy[-5:]}")
+        _move_parts(t, f"{root}-{copy[-5:]}", lambda i, copy=copy: f"{root}/{copy}/lab{i}_IgE.txt")
+    return lab_panel(read_lab_results(t.spark, root), ["F_IGE", "O_IGE"]).select("subject_accession", "F_IGE", "O_IGE")
+
+
+@query(
+    "report_fold",
+    """WITH nations AS (SELECT n_nationkey, n_name FROM nation), regions AS (SELECT r_regionkey, r_name FROM region)
+    SELECT 'nations' AS name, n_name AS value, 2 AS tables, (SELECT count(*) FROM nations) AS entries FROM nations
+    UNION ALL SELECT 'regions', r_name, 2, (SELECT count(*) FROM regions) FROM regions""",
+)
+def _(t: Tables):
+    """The final report, saved and read again, taken apart into its entries."""
+    path = new_table_path(t.spark, "report")
+    results = {"nations": t.nation.select("n_nationkey", "n_name"), "regions": t.region.select("r_regionkey", "r_name")}
+    report = final_report(t.spark, {"test_size": 0.2}, results, {"status": "completed"})
+    save_table(report, path)
+    kept = load_table(t.spark, path).select(F.size("results").alias("tables"), F.explode("results").alias("name", "rows"))
+    entries = kept.select("name", "tables", F.size("rows").cast("bigint").alias("entries"), F.explode("rows").alias("row"))
+    value = F.coalesce(F.get_json_object("row", "$.n_name"), F.get_json_object("row", "$.r_name"))
+    return entries.select("name", value.alias("value"), "tables", "entries")
+
+
 # --------------------------------------------------------------------------------------------
 # quality
 

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.operators.forests import Flat, Growth, descend, grow_branches, grow_tops, matrix, upper_nodes
-from panelwise.session import new_table_path, remove_written
+from panelwise.session import new_table_path
+from panelwise.sources.folders import remove
 
 STORE_ROUNDS = 10
 #: One is so many units in the sums of a leaf.
@@ -259,9 +260,9 @@ class BoostingEstimator:
             if len(recent) == STORE_ROUNDS:
                 newer = new_table_path(spark, "boosting-rows")
                 _with_scores(stored, _Scorer(recent, s.rate)).write.parquet(newer)
-                remove_written(spark, path)
+                remove(spark, path)
                 path, stored, recent = newer, spark.read.schema(schema).parquet(newer), []
-        remove_written(spark, path)
+        remove(spark, path)
         return BoostedClasses(s, start, rounds, losses, n_features)
 
 

@@ -29,7 +29,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.session import new_table_path, remove_written
+from panelwise.session import new_table_path
+from panelwise.sources.folders import remove
 
 # Of batch normalisation and of the Adam steps.
 KEPT_MEAN, NORM_EPSILON = 0.99, 1e-3
@@ -365,5 +366,5 @@ class NetworkEstimator:
             lowest = min(lowest, judged)
             if flat >= s.slower_after:
                 rate, flat = max(s.least_rate, rate * s.slower_by), 0
-        remove_written(spark, path)
+        remove(spark, path)
         return Network(s, best, history)

@@ -34,7 +34,7 @@ from panelwise.operators.quality import validate_source
 from panelwise.operators.targets import target_features
 from panelwise.options import DEFAULT, Explaining, Thresholds, Training
 from panelwise.session import written
-from panelwise.sources.stages import final_report, load_table, save_report, save_table
+from panelwise.sources.stages import final_report, load_report, load_table, save_report, save_table, stage_path
 from panelwise.sources.synthetic import or_synthetic, synthetic_survey, synthetic_trial
 from panelwise.vocabulary import ANALYTE_GROUPS, KEY
 
@@ -132,14 +132,19 @@ def run_pipeline(
     explaining: Explaining = Explaining(),
     classifier_names: tuple[str, ...] = ("random_forest", "gradient_boosting", "logistic_regression", "neural_network"),
     validate: bool = True,
+    resume: bool = False,
 ) -> Run:
     """Run the stages into ``folder``; a skipped stage is read from there.
 
-    An error ends the run and is recorded in it.
+    An error ends the run and is recorded in it; what was committed before stays. With ``resume``
+    the run begins at the first step without a commit: the tables of earlier ones are read. Models
+    are kept in memory only, so training and analysis are one step in this.
     """
     unknown = set(skip) - set(STEPS)
     if unknown:
         raise ValueError(f"unknown steps: {sorted(unknown)}")
+    if resume:
+        skip = {*skip, *committed_steps(spark, folder)}
     run = Run(folder)
     try:
         _stages(spark, run, survey, trial, set(skip), opts, training, explaining, classifier_names, validate)
@@ -148,6 +153,25 @@ def run_pipeline(
     return run
 
 
+#: Stages that a step commits.
+_COMMITS = {
+    "ingestion": ("survey", "trial", "high_missing"),
+    "engineering": ("features",),
+    "training": ("scores", "report"),
+    "analysis": ("scores", "report"),
+}
+
+
+def committed_steps(spark: SparkSession, folder: str) -> list[str]:
+    """The steps, from the first on, whose stages have all been committed."""
+    done = []
+    for step in STEPS:
+        if any(stage_path(spark, f"{folder}/{name}") is None for name in _COMMITS[step]):
+            break
+        done.append(step)
+    return done
+
+
 def _stages(spark, run, survey, trial, skip, opts, training, explaining, classifier_names, validate):
     folder = run.folder
     if "ingestion" not in skip:
@@ -201,9 +225,11 @@ def _stages(spark, run, survey, trial, skip, opts, training, explaining, classif
         "trees": float(training.trees),
         "sensitized_at": opts.sensitized_at,
     }
-    report = final_report(spark, settings, results, summary)
-    save_report(report, f"{folder}/report")
-    run.tables["report"] = report
+    if skip >= {"training", "analysis"} and stage_path(spark, f"{folder}/report"):
+        run.tables["report"] = load_report(spark, f"{folder}/report")
+        return
+    save_report(final_report(spark, settings, results, summary), f"{folder}/report")
+    run.tables["report"] = load_report(spark, f"{folder}/report")
 
 
 def with_row_key(df: DataFrame, key: str = KEY, out: str = "row_key") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwise.functions.columns import nan_as_null
+from panelwise.session import written
 
 # Separators tried in this order, and the marks of the dump format.
 SEPARATORS = ("\t", "~@@~", "~@~", ",")
@@ -56,8 +57,61 @@ def read_delimited(
     if schema is None:
         reader = spark.read.option("header", True).option("sep", separator)
         return nan_as_null(reader.option("inferSchema", True).option("mode", "DROPMALFORMED").csv(paths))
+    lines = _permissive(spark, paths, names, separator)
+    fields = F.size(F.split(F.col(_BAD), _literal(separator)))
+    fitting = lines.where(F.col(_BAD).isNull() | (fields <= len(names)))
+    return _typed(fitting, schema, {n.lower(): n for n in names}, with_path)
+
+
+def read_with_rejects(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, separator: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that ``read_delimited`` gives, and what was wrong: (file, line, reason, row_kept).
+
+    A line with too many fields is rejected; a cell that does not fit its type is null in the row,
+    which is kept. The files are read once: rows and reasons are written together and both tables
+    read from there. An empty cell is no error. Paths that do not exist give two empty tables.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    rejects = "file string, line string, reason string, row_kept boolean"
+    try:
+        header = header_line(spark, paths) if paths else None
+    except AnalysisException:
+        header = None
+    if header is None:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], rejects)
+    separator = separator or find_separator(header)
+    names = [n.strip().strip('"') for n in header.lstrip("\ufeff").split(separator)]
+    lines = _permissive(spark, paths, names, separator).select("*", F.col("_metadata.file_path").alias(_PATH))
+    fields = F.size(F.split(F.col(_BAD), _literal(separator)))
+    too_many = F.col(_BAD).isNotNull() & (fields > len(names))
+    reasons = [F.when(too_many, F.concat(F.lit("too many fields: "), fields, F.lit(f" of {len(names)}")))]
+    by_name = {n.lower(): n for n in names}
+    cells = {f.name: F.col(f"`{by_name[f.name.lower()]}`") for f in schema.fields if f.name.lower() in by_name}
+    for f in schema.fields:
+        if f.name in cells and f.dataType != T.StringType():
+            misfit = cells[f.name].isNotNull() & cells[f.name].try_cast(f.dataType).isNull()
+            said = F.concat(F.lit(f"{f.name}: '"), cells[f.name], F.lit(f"' is no {f.dataType.simpleString()}"))
+            reasons.append(F.when(~too_many & misfit, said))
+    text = F.coalesce(F.col(_BAD), F.concat_ws(separator, *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]))
+    found = F.filter(F.array(*reasons), lambda r: r.isNotNull())
+    marked = lines.select(
+        F.struct(*_typed_cells(schema, by_name)).alias("row"), too_many.alias("rejected"), F.struct(F.col(_PATH).alias("file"), F.when(F.size(found) > 0, text).alias("line"), found.alias("reasons")).alias("wrong")
+    )
+    stored = written(marked, "scanned")
+    kept = nan_as_null(stored.where("not rejected").select("row.*"))
+    wrong = stored.where(F.size("wrong.reasons") > 0).select("wrong.file", "wrong.line", F.explode("wrong.reasons").alias("reason"), (~F.col("rejected")).alias("row_kept"))
+    return kept, wrong
+
+
+def _literal(separator: str) -> str:
+    return "\\Q" + separator + "\\E"
+
+
+def _permissive(spark: SparkSession, paths: list[str], names: list[str], separator: str) -> DataFrame:
+    """All lines below the headers as texts; one that has more or fewer fields is also whole."""
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    lines = (
+    return (
         spark.read.schema(text.add(_BAD, T.StringType()))
         .option("header", True)
         .option("sep", separator)
@@ -65,21 +119,19 @@ def read_delimited(
         .option("columnNameOfCorruptRecord", _BAD)
         .csv(paths)
     )
-    fields = F.size(F.split(F.col(_BAD), _literal(separator)))
-    fitting = lines.where(F.col(_BAD).isNull() | (fields <= len(names)))
-    return _typed(fitting, schema, {n.lower(): n for n in names}, with_path)
 
 
-def _literal(separator: str) -> str:
-    return "\\Q" + separator + "\\E"
-
-
-def _typed(rows: DataFrame, schema: T.StructType, names: dict[str, str], with_path: bool) -> DataFrame:
+def _typed_cells(schema: T.StructType, names: dict[str, str]) -> list[Column]:
     columns = []
     for f in schema.fields:
         source = names.get(f.name.lower())
         cell = F.col(f"`{source}`") if source else F.lit(None).cast("string")
         columns.append((cell if f.dataType == T.StringType() else cell.try_cast(f.dataType)).alias(f.name))
+    return columns
+
+
+def _typed(rows: DataFrame, schema: T.StructType, names: dict[str, str], with_path: bool) -> DataFrame:
+    columns = _typed_cells(schema, names)
     if with_path:
         columns.append(F.col("_metadata.file_path").alias(_PATH))
     return nan_as_null(rows.select(*columns))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from panelwise.operators import explain, metrics, models, prepare
 from panelwise.options import Explaining, Training
-from panelwise.plans.pipeline import feature_table, run_pipeline
+from panelwise.plans.pipeline import committed_steps, feature_table, run_pipeline
 from panelwise.operators.panel import rename_codes
+from panelwise.sources.stages import load_report
 from panelwise.sources.synthetic import synthetic_survey
 
 SMALL = Training(trees=6, max_depth=4, boost_rounds=4, hidden=(8,), network_iterations=20, folds=2)
@@ -244,10 +245,13 @@ def test_pipeline_runs_skips_and_fails(spark, tmp_path):
     assert run.status == "completed", run.error
     assert set(run.trained) == {"poly_sensitization", "ige_class", "ige_regression"}
     assert set(run.reports) == set(run.trained) and not run.failures
-    report = spark.read.json(f"{folder}/report").first()
+    report = load_report(spark, f"{folder}/report").first()
     assert report["summary"]["survey_rows"] == "300" and "best_ige_class" in report["summary"].asDict()
     again = run_pipeline(spark, folder, skip=("ingestion", "engineering", "training", "analysis"))
     assert again.status == "completed" and len(again.tables["features"].columns) >= 96
+    assert committed_steps(spark, folder) == ["ingestion", "engineering", "training", "analysis"]
+    resumed = run_pipeline(spark, folder, resume=True)
+    assert resumed.status == "completed" and resumed.tables["report"].first()["summary"]["survey_rows"] == "300" and not resumed.trained
     failed = run_pipeline(spark, str(tmp_path / "nothing"), skip=("ingestion",))
     assert failed.status == "failed" and "nothing" in failed.error
     with pytest.raises(ValueError, match="unknown steps"):

@@ -195,5 +195,160 @@ def test_tables_and_csv(spark, tmp_path):
     stages.save_table(df, str(tmp_path / "p"), partition_by=("study",))
     assert stages.load_table(spark, str(tmp_path / "p")).where("study = 's'").count() == 4
     stages.save_table(df, str(tmp_path / "c"), "csv")
-    assert delimited.read_delimited(spark, str(tmp_path / "c")).count() == 4
+    assert delimited.read_delimited(spark, stages.stage_path(spark, str(tmp_path / "c"))).count() == 4
     assert stages.load_optional(spark, str(tmp_path / "none"), df.schema).isEmpty()
+
+
+def test_a_killed_write_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    stages.save_table(spark.range(5), path)
+    reading = stages.load_table(spark, path)  # a reader that has begun
+
+    @F.udf("long")
+    def breaks(i):
+        if i == 3:
+            raise RuntimeError("lost")
+        return i
+
+    with pytest.raises(Exception, match="lost"):
+        stages.save_table(spark.range(9).select(breaks("id").alias("id")), path)
+    assert stages.load_table(spark, path).count() == 5
+    # A process that dies before the rename leaves an unnamed version behind.
+    spark.range(7).write.parquet(f"{path}/version-00000000000000000000-x")
+    assert stages.load_table(spark, path).count() == 5
+    stages.save_table(spark.range(6), path)
+    assert stages.load_table(spark, path).count() == 6 and reading.count() == 5
+    stages.save_table(spark.range(8), path)
+    assert sum(p.name.startswith("version-") for p in (tmp_path / "stage").iterdir()) == stages.KEPT_VERSIONS
+    with pytest.raises(FileNotFoundError):
+        stages.load_report(spark, str(tmp_path / "none"))
+
+
+def spoil(path):
+    """Other bytes under the same size and time: whoever reads the file notices."""
+    import os
+
+    state = os.stat(path)
+    path.write_bytes(b"x" * state.st_size)
+    os.utime(path, ns=(state.st_atime_ns, state.st_mtime_ns))
+
+
+def test_reuse_reads_changed_files_only(spark, tmp_path):
+    folder, data = str(tmp_path / "reuse"), tmp_path / "data"
+    spark.range(0, 10, 1, 1).write.parquet(str(data))
+    spark.range(10, 30, 1, 1).write.mode("append").parquet(str(data))
+    files = sorted(data.glob("*.parquet"))
+    load = lambda: spark.read.schema("id bigint").parquet(str(data))
+    assert stages.reuse(spark.range(3), [load()], "r", folder).count() == 3
+    kept = files[0].read_bytes()
+    spoil(files[0])  # an unchanged file is not read at a hit
+    assert stages.reuse(spark.range(4), [load()], "r", folder).count() == 3
+    # Another file is there: it alone is read, and the copy no longer fits.
+    spark.range(90, 95, 1, 1).write.mode("append").parquet(str(data))
+    assert stages.reuse(spark.range(4), [load()], "r", folder).count() == 4
+    new = next(p for p in data.glob("*.parquet") if p not in files)
+    new.unlink()
+    assert stages.reuse(spark.range(7), [load()], "r", folder).count() == 3  # as it was before
+    # The same rows under a new time of change: read again, and still the same input.
+    files[0].write_bytes(kept)
+    import os
+
+    os.utime(files[0], (1, 1))
+    assert stages.reuse(spark.range(7), [load()], "r", folder).count() == 3
+    # Frames with something done to them are read.
+    assert stages.reuse(spark.range(8), [load().where("id > 5")], "r", folder).count() == 8
+
+
+def test_final_report(spark):
+    results = {"a": spark.range(2).withColumn("t", F.lit("x")), "empty": spark.range(0)}
+    row = stages.final_report(spark, {"s": 1.0}, results, {"k": "v"}).first()
+    assert row["results"] == {"a": ['{"id":0,"t":"x"}', '{"id":1,"t":"x"}'], "empty": []}
+    assert row["settings"] == {"s": 1.0} and row["summary"] == {"k": "v"}
+    assert stages.final_report(spark, {}, {}, {}).first()["results"] == {}
+
+
+def test_rejects(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+
+    lines = ["B,a,c", "1,x,2.5", "2,y,3.5,too many", "3,z", "no,w,nan", "5,,", "bad,v,worse"]
+    path = write(tmp_path / "t.txt", "\n".join(lines) + "\n")
+    schema = _parse_datatype_string("A string, b int, C double, absent int")
+    rows, rejects = delimited.read_with_rejects(spark, path, schema)
+    assert rows.exceptAll(delimited.read_delimited(spark, path, schema)).isEmpty() and rows.count() == 5
+    got = sorted((r["line"], r["reason"], r["row_kept"]) for r in rejects.collect())
+    assert got == [
+        ("2,y,3.5,too many", "too many fields: 4 of 3", False),
+        ("bad,v,worse", "C: 'worse' is no double", True),
+        ("bad,v,worse", "b: 'bad' is no int", True),
+        ("no,w,nan", "b: 'no' is no int", True),
+    ]
+    assert {r["file"].rsplit("/", 1)[-1] for r in rejects.collect()} == {"t.txt"}
+    none, wrong = delimited.read_with_rejects(spark, str(tmp_path / "absent"), schema)
+    assert none.isEmpty() and wrong.isEmpty() and none.columns == ["A", "b", "C", "absent"]
+
+
+@pytest.fixture(scope="module")
+def measured(spark):
+    value = F.when(F.col("id") % 7 != 0, (F.col("id") - 500) / 3)
+    return spark.range(0, 1000, 1, 2).select("id", value.alias("value"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("t é"), "id")).alias("text"))
+
+
+def test_transport_in_ranges(spark, tmp_path, measured):
+    """Each file is read by several tasks; rows end where the blanks of the last card begin."""
+    folder = str(tmp_path / "out")
+    xport.write_xport(measured, folder)
+    paths = [str(p) for p in sorted((tmp_path / "out").glob("*.xpt"))]
+    assert len(paths) == 2 and not list((tmp_path / "out").glob("*.tmp"))
+    df = xport.read_xport(spark, paths, range_bytes=1000)
+    assert df.rdd.getNumPartitions() > 10
+    expected = measured.withColumn("id", F.col("id").cast("double"))
+    assert df.exceptAll(expected).isEmpty() and expected.exceptAll(df).isEmpty()
+
+
+def test_transport_without_ranges(spark, tmp_path, measured, monkeypatch):
+    """A store that only Spark opens: the same rows."""
+    xport.write_xport(measured, str(tmp_path))
+    paths = [str(p) for p in sorted(tmp_path.glob("*.xpt"))]
+    ranged = xport.read_xport(spark, paths).collect()
+    monkeypatch.setattr(xport, "_store", lambda path: None)
+    assert sorted(map(str, xport.read_xport(spark, paths).collect())) == sorted(map(str, ranged))
+
+
+def test_transport_heads(tmp_path, monkeypatch):
+    names = [(f"C{i}", bool(i % 2), 3 if i % 2 else 8) for i in range(40)]
+    row = ["ab" if i % 2 else float(i) for i in range(40)]
+    for n in (0, 1, 2, 7, 50):
+        path = tmp_path / f"{n}.xpt"
+        path.write_bytes(xport_bytes(names, [row] * n))
+        for size in (80, 1000, 1 << 18):  # the header is longer than what is read first
+            monkeypatch.setattr(xport, "HEAD_BYTES", size)
+            columns, _, count = xport._head(str(path))
+            assert [c.name for c in columns] == [c for c, _, _ in names] and count == n
+    # One short column: blanks of the last card are no rows, blank rows before it are.
+    path.write_bytes(xport_bytes([("T", True, 8)], [(" ",)] * 12 + [("x",)] * 3))
+    assert xport._head(str(path))[2] == 15
+    path.write_bytes(b"no transport file")
+    with pytest.raises(ValueError, match="not a SAS"):
+        xport._head(str(path))
+
+
+def test_numbers_of_transport_files():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    values = np.concatenate([r.normal(size=500) * 10.0 ** r.integers(-60, 60, 500), [0.0, 1.0, -1.0, 0.5, 16.0, 1 / 16, 1e-70, 255.999, np.nan, np.inf]])
+    back = xport._doubles(xport._base16(values))
+    assert np.array_equal(back[:-1], values[:-1], equal_nan=True) and np.isnan(back[-1])
+    assert [bytes(c) for c in xport._base16(np.array([1.0, -2.5, 0.0]))] == [ibm_double(v) for v in (1.0, -2.5, 0.0)]
+    with pytest.raises(ValueError, match="range"):
+        xport._base16(np.array([1e80]))
+
+
+def test_transport_refuses(spark, tmp_path):
+    with pytest.raises(ValueError, match="eight"):
+        xport.write_xport(spark.range(1).toDF("much_too_long"), str(tmp_path))
+    with pytest.raises(Exception, match="more than 2 characters"):
+        xport.write_xport(spark.createDataFrame([("abc",)], "t string"), str(tmp_path), {"t": 2})
+    xport.write_xport(spark.range(0).toDF("n"), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    assert xport.read_xport(spark, []).count() == 0
