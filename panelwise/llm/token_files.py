@@ -32,69 +32,136 @@ from tokenizers import Tokenizer
 
 from panelwise.llm.common import commit_file, filesystem, partitions, prepare, temporary_name, text_or_empty
 
-#: Words a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+#: Bytes of pieces that a worker remembers twice over (see ``_Remembered``), what an entry takes
+#: besides its key and value, and how many new pieces are encoded together.
+PIECE_BYTES, ENTRY_BYTES, TOGETHER = 100 << 20, 160, 4096
+#: Texts that are cut at a time: few, so that their pieces stay in the processor's cache.
+GROUP = 8
 #: Bits per key and level of the hash: fewer levels against less room.
 ROOM = 2.0
 
-_SIMPLE_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# --------------------------------------------------------------------------------------------
+# ids of texts
 
+# The steps of a tokenizer whose pieces can be cut here, and what its pattern says of
+# the first 256 characters, lower-cased: contractions, letters, digits, and runs of all else.
+_STEPS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+_LATIN = re.compile("[\x00-\xff]*")
 
-# --------------------------------------------------------------------------------------------
-# ids of words
 
+class _Remembered(dict):
+    """Ids by piece. At ``limit`` bytes the entries are put aside; those that are asked for again
+    come back, the others go with the next change."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.bytes, self.old = limit, 0, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        self.bytes += len(key) + len(value) + ENTRY_BYTES
+        self[key] = value
 
-class WordIds(dict):
-    """Ids of words between white space, as little-endian bytes; a missing word is encoded.
+    def make_room(self) -> None:
+        if self.bytes > self.limit:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
 
-    The tokenizer drops white space and none of its steps looks across it, so the ids of a text
-    are those of its words. Words of plain letters go straight to the tokenizer's merge model.
+    def recall(self, keys: set[str]) -> list[str]:
+        """Bring back what was put aside; the keys that are not remembered."""
+        missing = []
+        for key in keys:
+            value = self.old.get(key)
+            if value is None:
+                missing.append(key)
+            else:
+                self.put(key, value)
+        return missing
+
+
+class TextIds:
+    """Ids of texts, as little-endian bytes.
+
+    The tokenizer drops white space, and none of its steps looks across the pieces that its pattern
+    cuts a text into, so the ids of a text are those of its pieces. Texts of the first 256
+    characters are cut here, and what is new in a batch is encoded as one text, whose ids are cut
+    after every token that ends a word. In other texts this is done word by word, and words with
+    other characters are encoded each by itself. Other tokenizers encode whole texts.
     """
 
     def __init__(self, tokenizer: str, width: int):
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = f"<u{width}"
+        self.dtype, self.width = f"<u{width}", width
         spec = json.loads(tokenizer)
-        splits = [p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", [])]
-        kinds = [n["type"] for n in spec["normalizer"].get("normalizers", [])]
-        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
-        self.pieces: dict[str, list[int]] = {}
-        alphabet = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        rest = iter(range(0x100, 0x200))
-        self.table = {b: chr(b if b in alphabet else next(rest)) for b in range(256)}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            mapped = piece.encode().decode("latin-1").translate(self.table)
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        simple = self.plain and _SIMPLE_WORD.fullmatch(text)
-        if simple:
-            ids = self._piece(simple[1].lower())
-            if simple[2]:
-                ids = ids + self._piece(simple[2])
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self.pieces.clear()
-        data = self[word] = np.array(ids, dtype=self.dtype).tobytes()
-        return data
-
-
-_words: dict[tuple[str, int], WordIds] = {}  # of this worker
-
-
-def _words_of(tokenizer: str, width: int) -> WordIds:
-    if (tokenizer, width) not in _words:
-        _words[tokenizer, width] = WordIds(tokenizer, width)
-    return _words[tokenizer, width]
+        pre, normalizer = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        splits = [p.get("pattern", {}).get("Regex") for p in pre.get("pretokenizers", [])]
+        kinds = [n["type"] for n in normalizer.get("normalizers", [])]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.cut_here = bool(suffix) and kinds == _STEPS and splits[:1] == [_PATTERN]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.pieces = _Remembered(PIECE_BYTES)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.cut_here:
+            return [self._encode(text) for text in texts]
+        self.pieces.make_room()
+        return [ids for at in range(0, len(texts), GROUP) for ids in self._group(texts[at : at + GROUP])]
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut = [_PIECES.findall(text.lower()) if _LATIN.fullmatch(text) else self._cut_words(text) for text in texts]
+        get = self.pieces.get
+        found = [list(map(get, pieces)) for pieces in cut]
+        missing: set[str] = set()
+        for pieces, ids in zip(cut, found):
+            if None in ids:
+                missing.update([p for p, i in zip(pieces, ids) if i is None])
+        self._learn(self.pieces.recall(missing))
+        return [b"".join(ids if None not in ids else map(self.pieces.__getitem__, pieces)) for pieces, ids in zip(cut, found)]
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _cut_words(self, text: str) -> list[str]:
+        """Pieces, and whole words with other characters; these are marked by a space before them."""
+        out: list[str] = []
+        for word in text.encode().split():
+            word = word.decode()
+            if _LATIN.fullmatch(word):
+                out += _PIECES.findall(word.lower())
+            else:
+                out.append(f" {word}")
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        for piece in pieces:
+            if piece[0] == " ":
+                self.pieces.put(piece, self._encode(piece[1:]))
+        todo = [piece for piece in pieces if piece[0] != " "]
+        for at in range(0, len(todo), TOGETHER):
+            part = todo[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.int64)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end every piece with a token of its own")
+            data, begin = ids.astype(self.dtype).tobytes(), 0
+            for piece, end in zip(part, ends.tolist()):
+                self.pieces.put(piece, data[begin:end])
+                begin = end
+
+
+_encoders: dict[tuple[str, int], TextIds] = {}  # of this worker
+
+
+def _encoder_of(tokenizer: str, width: int) -> TextIds:
+    if (tokenizer, width) not in _encoders:
+        _encoders[tokenizer, width] = TextIds(tokenizer, width)
+    return _encoders[tokenizer, width]
 
 
 # --------------------------------------------------------------------------------------------
@@ -200,7 +267,7 @@ def write_shards(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
-        words = _words_of(shared.value, width)
+        encoder = _encoder_of(shared.value, width)
         end = b"" if end_id is None else end_id.to_bytes(width, "little")
         name = f"{base}/shard-{TaskContext.get().partitionId():05d}"
         keys: list = []
@@ -211,8 +278,8 @@ def write_shards(
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(temporary := temporary_name(f"{name}.ids"))
             keys += batch.column(0).to_pylist()
-            for value in batch.column(1).to_pylist():
-                payload = b"".join(map(words.__getitem__, value.encode().split())) + end
+            for ids in encoder.texts(batch.column(1).to_pylist()):
+                payload = ids + end
                 lengths.append(len(payload) // width)
                 out.write(payload)
         if out is None:

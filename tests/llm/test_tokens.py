@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 import zlib
 
 import numpy as np
@@ -87,11 +88,40 @@ def test_empty_table_has_no_shard(spark, nothing):
     assert token_files.read_documents(nothing, folder, []).count() == 0
 
 
-def test_words_alone_give_the_ids_of_the_text(words):
-    ids = token_files.WordIds(words.to_str(), 2)
-    for text in ("It's Émile's naïve co-op, 3.14²½ ßÿ ﬁ ǅ", "á Å İ Σίσυφος", "don't I'LL 'tis", "<|endoftext|> x y z", "日本語 가각 é"):
-        own = b"".join(map(ids.__getitem__, text.encode().split()))
-        assert np.frombuffer(own, "<u2").tolist() == words.encode(text, add_special_tokens=False).ids
+HARD = [
+    "It's Émile's naïve co-op, 3.14²½ ßÿ ﬁ ǅ", "á Å İ Σίσυφος ΟΔΟΣ", "don't I'LL 'tis '' ''s \"' !'s 's't", "<|endoftext|> x y z <|startoftext|>a",
+    "日本語 가각 é", "a\u00a0b\u2003c \x85 \x1c\x1d \x00", "🙂🙃 a🙂b", "ÀÉÎ ñandú. µªº×÷ ¼¾¹", "x" * 3000 + "! ?!", "e\u0301x \u0301 a\u200d \ufeff", "", " \n ", "a.b,c d... 12ab",
+]
+
+
+@pytest.mark.parametrize("room", [100 << 20, 0, 2000])
+def test_pieces_give_the_ids_of_the_text(words, room, monkeypatch):
+    """Whatever is remembered: all, nothing from one batch to the next, or some of it."""
+    monkeypatch.setattr(token_files, "PIECE_BYTES", room)
+    encoder = token_files.TextIds(words.to_str(), 2)
+    assert encoder.cut_here
+    pick = random.Random(2)
+    pool = [w for text in HARD for w in text.split(" ")]
+    mixed = [pick.choice([" ", "\n", "  "]).join(pick.choice(pool) for _ in range(pick.randrange(25))) for _ in range(120)]
+    for texts in (HARD, mixed, HARD[::-1], mixed[:50]):
+        for text, own in zip(texts, encoder.texts(texts), strict=True):
+            assert np.frombuffer(own, "<u2").tolist() == words.encode(text, add_special_tokens=False).ids
+
+
+def test_every_latin_character(words):
+    encoder = token_files.TextIds(words.to_str(), 2)
+    texts = [form.format(chr(c)) for c in range(256) for form in ("{0}", "a{0}b", "{0}{0}'s1{0}", "1{0}.{0}'{0}")]
+    for text, own in zip(texts, encoder.texts(texts)):
+        assert np.frombuffer(own, "<u2").tolist() == words.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    encoder = token_files.TextIds(library.to_str(), 2)
+    assert not encoder.cut_here
+    for text, own in zip(HARD, encoder.texts(HARD)):
+        assert np.frombuffer(own, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_byte_bpe_is_the_library(spark, awkward, awkward_rows, library):
