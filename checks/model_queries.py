@@ -596,11 +596,12 @@ _ONE_BACKGROUND = f"(SELECT {{0}} FROM labelled ORDER BY {mix_sql('doc_id', 42)}
 
 @query(
     "sampled_attribution",
-    f"""WITH {LABELLED_SQL} SELECT doc_id, 'n_chars' AS feature, {r6(f"0.01 * (n_chars - {_ONE_BACKGROUND.format('n_chars')})", 'phi')} FROM labelled
-    UNION ALL SELECT doc_id, 'n_spaces', {r6(f"-0.5 * (n_spaces - {_ONE_BACKGROUND.format('n_spaces')})", 'phi')} FROM labelled""",
+    f"""WITH {LABELLED_SQL} SELECT doc_id, 'n_chars' AS feature, {r6(f"0.01 * (n_chars - {_ONE_BACKGROUND.format('n_chars')})", 'phi')}, CAST(0 AS DOUBLE) AS std_error FROM labelled
+    UNION ALL SELECT doc_id, 'n_spaces', {r6(f"-0.5 * (n_spaces - {_ONE_BACKGROUND.format('n_spaces')})", 'phi')}, CAST(0 AS DOUBLE) FROM labelled""",
 )
 def _(t: Tables):
-    """On a linear score every order of the features gives coefficient * (value - background)."""
+    """On a linear score every order of the features gives coefficient * (value - background), so
+    that the draws do not differ."""
     rows = prepare.assemble(labelled(t), ["n_chars", "n_spaces"]).select("doc_id", "features")
     background = explain.background_rows(rows, "doc_id", 1)
 
@@ -608,7 +609,7 @@ def _(t: Tables):
         x = vector_to_array("features")
         return df.withColumn("score", F.get(x, F.lit(0)) * 0.01 - F.get(x, F.lit(1)) * 0.5 + 3.0)
 
-    return explain.sampled_attribution(rows, background, "doc_id", "features", score, ["n_chars", "n_spaces"], draws=3)
+    return explain.sampled_attribution(rows, background, "doc_id", "features", score, ["n_chars", "n_spaces"], draws=4).withColumn("std_error", F.round("std_error", 4))
 
 
 @query("explained_forest")

@@ -289,33 +289,56 @@ def sampled_attribution(
     names: Sequence[str],
     draws: int = 20,
     seed: int = 42,
+    limit: float | None = None,
+    most_draws: int = 10_000,
 ) -> DataFrame:
-    """Shapley values of any scored model from sampled feature orders: (key, feature, phi).
+    """Shapley values of any scored model from sampled feature orders: (key, feature, phi, std_error).
 
-    Each draw takes one background row and one order of the features, and replaces the background
-    values by the row's own one after the other. ``score`` adds a ``score`` column to a DataFrame
-    with a ``features`` vector. The sum of phi is the row's score minus the mean score of its
-    background rows.
+    A draw takes one background row and one order of the features, and replaces the background
+    values by the row's own one after the other; every second draw takes the order before it
+    backwards. ``score`` adds a ``score`` column to a DataFrame with a ``features`` vector. The sum
+    of phi is the row's score minus the mean score of its background rows.
+
+    ``std_error`` is that of the mean over the pairs of draws; null for a single pair. With a
+    ``limit``, rows of which a feature's error is larger get as many draws again, until none is or
+    ``most_draws`` are made.
     """
-    d = len(names)
     kept = background.select(vector_to_array(features).alias("b")).limit(1_001).collect()
     if len(kept) > 1_000:
         raise ValueError("give at most 1000 background rows")
-    backgrounds = F.lit([list(r["b"]) for r in kept]).cast("array<array<double>>")
+    backgrounds = [list(r["b"]) for r in kept]
+    pairs = max(1, (draws + 1) // 2)
+    sums = _paired_gains(df, backgrounds, key, features, score, len(names), 0, pairs, seed)
+    n, spread = F.col("n"), F.col("squares") - F.col("total") * F.col("total") / F.col("n")
+    error = F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1) / n))
+    while limit is not None:
+        sums = written(sums, "sampled-gains")
+        rough = sums.where(error.isNull() | (error > limit)).select(key).distinct()
+        if 4 * pairs > most_draws or rough.isEmpty():
+            break
+        again = df.join(rough, key, "left_semi")
+        more = _paired_gains(again, backgrounds, key, features, score, len(names), pairs, pairs, seed)
+        sums = sums.unionByName(more).groupBy(key, "place").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+        pairs *= 2
+    labels = F.array(*[F.lit(name) for name in names])
+    return sums.select(key, F.get(labels, F.col("place")).alias("feature"), (F.col("total") / n).alias("phi"), error.alias("std_error"))
+
+
+def _paired_gains(df: DataFrame, backgrounds: list[list[float]], key: str, features: str, score: "callable", d: int, first: int, pairs: int, seed: int) -> DataFrame:
+    """(key, place, n, total, squares) of the mean gains of the pairs of draws from ``first`` on."""
     text = dict(df.dtypes)[key] == "string"
     number = as_key(F.col(key), text)
-    drawn = df.select(
-        key, vector_to_array(features).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    )
+    drawn = df.select(key, vector_to_array(features).alias("x"), F.explode(F.sequence(F.lit(first), F.lit(first + pairs - 1))).alias("pair"))
     slots = F.sequence(F.lit(0), F.lit(d - 1))
-    random_key = mix(number + F.col("draw").cast("bigint") * F.lit(1_000_003), seed)
+    random_key = mix(number + F.col("pair").cast("bigint") * F.lit(1_000_003), seed)
     keys = F.transform(slots, lambda j: F.struct(mix(random_key * F.lit(4_096) + j.cast("bigint"), seed).alias("u"), j.alias("j")))
+    order = F.transform(F.array_sort(keys), lambda s: s["j"])
     chosen = drawn.select(
         key,
-        "draw",
+        "pair",
         "x",
-        F.get(backgrounds, (F.pmod(random_key + F.col("draw"), F.lit(len(kept)))).cast("int")).alias("b"),
-        F.transform(F.array_sort(keys), lambda s: s["j"]).alias("order"),
+        F.get(F.lit(backgrounds).cast("array<array<double>>"), (F.pmod(random_key + F.col("pair"), F.lit(len(backgrounds)))).cast("int")).alias("b"),
+        F.posexplode(F.array(order, F.reverse(order))).alias("back", "order"),
     )
     steps = chosen.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("step"))
     known = F.slice(F.col("order"), F.lit(1), F.col("step"))
@@ -326,21 +349,17 @@ def sampled_attribution(
     scored = score(
         steps.select(
             key,
-            "draw",
+            "pair",
+            "back",
             "step",
             F.get("order", F.col("step") - 1).alias("place"),
             array_to_vector(mixed).alias("features"),
         )
     )
-    before = F.lag("score").over(W.Window.partitionBy(key, "draw").orderBy("step"))
-    gains = scored.select(key, "draw", "place", (F.col("score") - before).alias("gain"))
-    labels = F.array(*[F.lit(n) for n in names])
-    return (
-        gains.where(F.col("place").isNotNull())
-        .groupBy(key, "place")
-        .agg(F.avg("gain").alias("phi"))
-        .select(key, F.get(labels, F.col("place")).alias("feature"), "phi")
-    )
+    before = F.lag("score").over(W.Window.partitionBy(key, "pair", "back").orderBy("step"))
+    gains = scored.select(key, "pair", "place", (F.col("score") - before).alias("gain")).where(F.col("place").isNotNull())
+    means = gains.groupBy(key, "pair", "place").agg(F.avg("gain").alias("gain"))
+    return means.groupBy(key, "place").agg(F.count("*").alias("n"), F.sum("gain").alias("total"), F.sum(F.col("gain") * F.col("gain")).alias("squares"))
 
 
 # --------------------------------------------------------------------------------------------

@@ -194,6 +194,34 @@ def test_sampled_attribution_adds_up(spark):
     assert sums.select(F.max(F.abs(F.col("t") + base - F.col("score")))).first()[0] < 1e-9
 
 
+def test_sampled_attribution_within_its_error(spark):
+    """Four features that work together: by definition, and within the stated error."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6, 4)).round(3)
+    names = ["a", "b", "c", "d"]
+    df = prepare.assemble(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id bigint, a double, b double, c double, d double"), names).select("id", "features")
+
+    def score(d):
+        v = [F.get(vector_to_array("features"), F.lit(i)) for i in range(4)]
+        return d.withColumn("score", v[0] * v[1] + F.when(v[2] > 0, v[3] * v[0]).otherwise(v[1]))
+
+    plain = lambda v: v[0] * v[1] + (v[3] * v[0] if v[2] > 0 else v[1])
+    base = rng.normal(size=4).round(3)
+    background = prepare.assemble(spark.createDataFrame([(0, *map(float, base))], "id bigint, a double, b double, c double, d double"), names)
+    found = explain.sampled_attribution(df, background, "id", "features", score, names, draws=10, limit=0.04, most_draws=640)
+    rows = {(r["id"], r["feature"]): r for r in found.collect()}
+    assert len(rows) == 24 and all(r["std_error"] <= 0.04 for r in rows.values())
+    few = explain.sampled_attribution(df, background, "id", "features", score, names, draws=10).collect()
+    assert max(r["std_error"] for r in few) > 0.04
+    for i in range(6):
+        exact = brute_shapley(lambda s: plain([x[i][f] if f in s else base[f] for f in range(4)]), 4)
+        for f, name in enumerate(names):
+            r = rows[i, name]
+            assert abs(r["phi"] - exact[f]) <= 4 * r["std_error"] + 1e-9
+    one = explain.sampled_attribution(df, background, "id", "features", score, names, draws=1).collect()
+    assert {r["std_error"] for r in one} == {None}
+
+
 @pytest.mark.parametrize(
     "feature, name",
     [
