@@ -130,7 +130,9 @@ def dedup_lines(
     A line's key has no white space at its ends and A-Z lower-cased. Keys of ``least`` characters
     or more that two documents hold lose all their lines but in the document with the smallest
     ``key``. A null or empty text is one empty line. Rows that share a ``key`` count as one
-    document, each with its own lines; rows with a null key are one document after all others.
+    document, each with its own lines; rows with a null key are one document after all others. What
+    a row loses is found by its key and a hash of its text, so the rows of one key, however many,
+    are spread and meet their own lines only.
     """
     spark = prepare(docs.sparkSession)
     kind = docs.schema[key].dataType
@@ -145,12 +147,12 @@ def dedup_lines(
                 keys += mine
                 owner += [i] * len(mine)
             hits = np.flatnonzero(_test(bits, _places(_hashes(keys), 8 * len(bits)))) if keys else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([owner[i] for i in hits], pa.int64())), pa.array([keys[i] for i in hits], pa.binary())], names=["owner", "line"]
-            )
+            rows = pa.array([owner[i] for i in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array([keys[i] for i in hits], pa.binary())], names=["owner", "own", "line"])
 
     chosen = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"), F.struct(*carry, F.lit(None).cast("int").alias("_")).alias("carried"))
-    found = chosen.select("key", "text").mapInArrow(suspects, T.StructType([T.StructField("owner", kind), T.StructField("line", T.BinaryType())]))
+    chosen = chosen.withColumn("mark", F.xxhash64("text"))
+    found = chosen.select("key", "text", "mark").mapInArrow(suspects, T.StructType([T.StructField("owner", kind), T.StructField("own", T.LongType()), T.StructField("line", T.BinaryType())]))
     found = written(found, "suspected-lines")
     # Written, so that the join can split a line that a large share of all documents holds.
     repeated = written(
@@ -163,7 +165,7 @@ def dedup_lines(
     drops = (
         found.join(repeated, "line")
         .where(~F.col("owner").eqNullSafe(F.col("first")))
-        .groupBy("owner")
+        .groupBy("owner", "own")  # lines of one text
         .agg(F.collect_set("line").alias("drops"))
     )
 
@@ -189,5 +191,5 @@ def dedup_lines(
         T.StructField("n_dropped", T.LongType()),
         T.StructField("kept", T.StringType()),
     ])
-    joined = chosen.join(drops, F.col("key").eqNullSafe(F.col("owner")), "left").select("key", "carried", "text", "drops")
+    joined = chosen.join(drops, F.col("key").eqNullSafe(F.col("owner")) & (F.col("mark") == F.col("own")), "left").select("key", "carried", "text", "drops")
     return joined.mapInArrow(rebuild, schema).select(F.col("key").alias(key), *(["carried"] if carry else []), "n_lines", "n_dropped", "kept")

@@ -55,6 +55,15 @@ def test_line_dedup_of_nothing(nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_many_rows_under_one_key(spark):
+    """Rows of a null or repeated id, each with lines that a keyed row holds too."""
+    lines = lambda i: "\n".join(f"line {j} of text {i % 900}" for j in range(i % 900, i % 900 + 6))
+    rows = [(None if i % 3 else 7, lines(i)) for i in range(2000)] + [(1, "\n".join(lines(i) for i in range(0, 900, 2))), (9, lines(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in line_dedup.dedup_lines(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_dedup(rows)))
+
+
 def test_line_dedup_with_filters_too_small(awkward, awkward_rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "MOST_BITS", 1 << 10)
     got = [tuple(r) for r in line_dedup.dedup_lines(awkward).collect()]
