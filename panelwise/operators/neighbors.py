@@ -7,6 +7,9 @@ MapReduce", VLDB 2012). Both sides of a cell are then cut into blocks of bounded
 pair of blocks keeps only its k best candidates per row. Nothing is dropped: all candidates that
 can be among the k nearest are compared.
 
+Within a pair of blocks of many dimensions a product of matrices finds the few pairs whose distances
+are then computed from the vectors themselves (``bounded_search``).
+
 Copies of one vector: any row needs at most k + 1 of them, those with the smallest ids, so a group
 of copies is cut to those before it is sent anywhere.
 """
@@ -24,6 +27,7 @@ from pyspark.sql import window as W
 
 BLOCK_ROWS = 2_000
 MAX_PIVOTS = 8_192
+MANY_DIMENSIONS = 8  # from here on distances are found by a product of matrices first
 _SLICE = 4_000_000  # doubles in one distance slice
 
 
@@ -161,11 +165,13 @@ def _compare(k: int):
         if not len(queries) or not len(rows):
             return pd.DataFrame({"id": [], "other": [], "d2": []})
         order = np.argsort(rows["id"].to_numpy(), kind="stable")
-        other = rows["id"].to_numpy()[order]
-        have = _matrix(rows["v"])[order]
-        ids = queries["id"].to_numpy()
+        other, have = rows["id"].to_numpy()[order], _matrix(rows["v"])[order]
+        ids, asked = queries["id"].to_numpy(), _matrix(queries["v"])
+        if have.shape[1] >= MANY_DIMENSIONS and len(have) > 8 * k:
+            found, place, values, _ = bounded_search(ids, asked, other, have, k)
+            return pd.DataFrame({"id": ids[found], "other": other[place], "d2": values})
         out = []
-        for start, d in _distances(_matrix(queries["v"]), have):
+        for start, d in _distances(asked, have):
             own = ids[start : start + len(d)]
             d[own[:, None] == other[None, :]] = np.inf
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
@@ -178,6 +184,41 @@ def _compare(k: int):
     return compare
 
 
+def bounded_search(
+    ids: np.ndarray, asked: np.ndarray, other: np.ndarray, have: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The k nearest of each query, with few distances taken from the vectors themselves.
+
+    A product of matrices gives all squared distances but for its rounding, which is bounded by the
+    lengths of the vectors. The k-th smallest and twice that bound are a limit that no neighbour can
+    be above; the pairs below it are computed from the vectors as given. Returns rows of ``asked``,
+    places in ``have``, squared distances, and how many of them were computed so.
+    """
+    center = have.mean(axis=0)
+    q, x = asked - center, have - center
+    q2, x2 = (q**2).sum(axis=1), (x**2).sum(axis=1)
+    # Each of the sums of n products is off by n rounding steps of the lengths' product at most.
+    slack = 8 * (have.shape[1] + 4) * np.finfo(float).eps * (q2.max() + x2.max())
+    found, full = [], 0
+    step = max(1, _SLICE // max(1, len(have)))
+    for start in range(0, len(asked), step):
+        at = slice(start, min(start + step, len(asked)))
+        rough = q2[at, None] + x2[None, :] - 2 * (q[at] @ x.T)
+        rough[ids[at, None] == other[None, :]] = np.inf
+        last = min(k, len(have)) - 1
+        limit = np.partition(rough, last, axis=1)[:, last] + 2 * slack
+        row, place = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        gap = asked[start + row] - have[place]
+        values = np.einsum("ij,ij->i", gap, gap)
+        full += len(values)
+        order = np.lexsort((other[place], values, row))
+        row, place, values = row[order], place[order], values[order]
+        begin = np.searchsorted(row, np.arange(at.stop - start))
+        best = np.arange(len(row)) - begin[row] < k
+        found.append((start + row[best], place[best], values[best]))
+    return (*(np.concatenate([f[i] for f in found]) for i in range(3)), full)
+
+
 def _ranked(candidates: DataFrame, key: str, k: int) -> DataFrame:
     rank = F.row_number().over(W.Window.partitionBy("id").orderBy("d2", "other"))
     return (

@@ -281,3 +281,24 @@ def test_chunks(spark):
     df = spark.range(25).select((F.col("id") * 3).alias("k"))
     out = {r["k"] // 3: r["chunk"] for r in quality.with_chunks(df, "k", 10).collect()}
     assert out == {i: i // 10 for i in range(25)}
+
+
+def test_search_by_products_is_exact():
+    """Ties, copies, vectors far from the origin, fewer rows than neighbours: as by definition."""
+    from panelwise.operators.neighbors import bounded_search
+
+    r = np.random.default_rng(3)
+    for shift, digits in ((0.0, 8), (1e6, 3), (0.0, 0)):
+        have = (r.normal(size=(300, 12)).round(digits) + shift).round(digits)
+        have[200:220] = have[0]
+        ids = r.permutation(300)
+        ids.sort()
+        for k in (1, 5, 299, 400):
+            row, place, values, full = bounded_search(ids[:60], have[:60], ids, have, k)
+            for i in range(60):
+                d = ((have[i] - have) ** 2).sum(axis=1)
+                order = [j for j in np.lexsort((ids, d)) if j != i][:k]
+                assert place[row == i].tolist() == order
+                assert np.allclose(values[row == i], d[order])
+            if digits == 8 and k == 5:
+                assert full < 0.1 * 60 * 300
