@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,8 @@ BLOCK = 64
 #: Nodes up to which the documents to confirm are named to every task (8 bytes each); beyond that
 #: texts are shuffled to find them.
 SMALL = 400_000
+#: Nodes up to which a component is looked up by a shuffle in any case.
+LARGE = 1000
 
 
 @dataclass(frozen=True)
@@ -232,12 +234,16 @@ def _packed_texts(docs: DataFrame, signed: DataFrame, wanted: DataFrame, setting
     """``node`` and its text, compressed, for one text of each wanted node."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: set[int] = set()  # nodes of this task: copies of their texts need no work
         for batch in batches:
-            values = batch.column(2).to_pylist()
-            # The row was found by a hash of its text; the digest says whether it is that set.
-            right = pa.array([xxhash.xxh3_128_digest(shingles(x, settings.words).tobytes()) == d for x, d in zip(values, batch.column(1).to_pylist())], pa.bool_())
-            packed = pa.array([zlib.compress(x.encode(), 1) for x in values], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(right), packed.filter(right)], names=["node", "packed"])
+            nodes, texts = [], []
+            for node, digest, value in zip(*(c.to_pylist() for c in batch.columns)):
+                # The row was found by a hash of its text; the digest says whether it is that set.
+                if node not in packed and xxhash.xxh3_128_digest(shingles(value, settings.words).tobytes()) == digest:
+                    packed.add(node)
+                    nodes.append(node)
+                    texts.append(zlib.compress(value.encode(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], names=["node", "packed"])
 
     one = signed.join(wanted, "node").groupBy("node").agg(F.min(F.struct("content", "digest")).alias("one")).select("node", "one.*")
     named = written(one, "near-texts")
@@ -299,42 +305,83 @@ class _Parts:
         self.over[self.of(a)] = self.of(b)
 
 
+def _placed(own: DataFrame, row: Column) -> DataFrame:
+    """``row`` of the nodes of each bucket (``size`` of them, ``most`` in the component ``major``)
+    in blocks of bounded size: all nodes on the right, those of other components on the left too."""
+    place = F.xxhash64(F.lit(3), "node")
+    side = lambda left, n: F.struct(F.lit(left).alias("left"), F.pmod(place, F.greatest(F.ceil(n / BLOCK), F.lit(1))).alias("block"))
+    right, left = side(False, F.col("size")), side(True, F.col("size") - F.col("most"))
+    sides = F.when(F.col("component") != F.col("major"), F.array(right, left)).otherwise(F.array(right))
+    rows = own.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.explode(sides).alias("side"), row.alias("row"))
+    return rows.groupBy("bucket", "blocks", "side").agg(F.collect_list("row").alias("rows"))
+
+
+def _meetings(placed: DataFrame) -> DataFrame:
+    """Every block on the left beside every block on the right of its bucket, one meeting a row."""
+    right = placed.where("not side.left").select("bucket", F.col("side.block").alias("right"), F.col("rows").alias("others"))
+    left = placed.where("side.left").select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("right"), F.col("rows").alias("these"))
+    return left.join(right, ["bucket", "right"]).select("bucket", "these", "others")
+
+
+def _not_ruled_out(bucket: int, x: pa.StructArray, y: pa.StructArray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two blocks of the pairs across components that size and sketch allow, the most
+    alike first. A pair that meets in several buckets is looked at in the first."""
+    size, part = ([np.asarray(s.field(f)) for s in (x, y)] for f in ("n_shingles", "component"))
+    a, b = (_matrix(s.field("sketch"), settings.sketch) for s in (x, y))
+    where = [np.asarray(s.field("buckets").flatten()).reshape(len(s), -1) for s in (x, y)]
+    low, high = np.minimum.outer(size[0], size[1]), np.maximum.outer(size[0], size[1])
+    i, j = np.nonzero((part[0][:, None] != part[1][None, :]) & (100 * low >= settings.percent * high))
+    kept = may_link(a[i], b[j], settings)
+    i, j = i[kept], j[kept]
+    same = where[0][i] == where[1][j]
+    kept = where[0][i, same.argmax(axis=1)] == bucket
+    i, j = i[kept], j[kept]
+    order = np.argsort(-(a[i] == b[j]).sum(axis=1), kind="stable")
+    return i[order], j[order]
+
+
 def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Links of nodes that share a bucket of three or more but no component.
 
     In each bucket, nodes outside the commonest component (the minor ones) are compared with all
-    nodes of other components. Blocks of bounded size meet block by block, each meeting is one row,
-    and only links leave it: pairs that the sketches do not rule out are confirmed there, the most
-    alike first, unless the meeting has linked their components by then. A pair that meets in
-    several buckets is looked at in the first.
+    nodes of other components. Blocks of bounded size meet block by block, each meeting is one row.
+    Sketches meet first, and what leaves is the nodes of pairs that are not ruled out; only these
+    meet again with their texts. Only links leave that: pairs are confirmed there, the most alike
+    first, unless the meeting has linked their components by then.
     """
     named = written(_labelled(members, labels, "node", "component"), "bucket-members")
     per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("most"))
     mixed = written(mixed.where("parts > 1 and size > 2"), "mixed-buckets")
-    own = named.select("node", "component", "bucket").join(mixed, "bucket").join(nodes, "node").join(texts, "node")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    place = F.xxhash64(F.lit(3), "node")
-    row = F.struct("node", "n_shingles", "component", "buckets", "sketch", "packed")
-    right = own.select("bucket", F.pmod(place, blocks).alias("right"), row.alias("row")).groupBy("bucket", "right").agg(F.collect_list("row").alias("others"))
-    lefts = F.ceil((F.col("size") - F.col("most")) / BLOCK)
-    left = own.where("component <> major").select("bucket", F.pmod(place, lefts).alias("left"), blocks.alias("blocks"), row.alias("row"))
-    left = left.groupBy("bucket", "left", "blocks").agg(F.collect_list("row").alias("these"))
-    meetings = left.withColumn("right", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).join(right, ["bucket", "right"]).select("bucket", "these", "others")
-
-    def meet(bucket: int, x: pa.StructArray, y: pa.StructArray) -> list[tuple[int, int]]:
-        node, size, part = ([np.asarray(s.field(f)) for s in (x, y)] for f in ("node", "n_shingles", "component"))
-        a, b = (_matrix(s.field("sketch"), settings.sketch) for s in (x, y))
-        where = [np.asarray(s.field("buckets").flatten()).reshape(len(s), -1) for s in (x, y)]
-        low, high = np.minimum.outer(size[0], size[1]), np.maximum.outer(size[0], size[1])
-        fits = (part[0][:, None] != part[1][None, :]) & (100 * low >= settings.percent * high)
-        i, j = np.nonzero(fits)
-        kept = may_link(a[i], b[j], settings)
-        i, j = i[kept], j[kept]
-        same = where[0][i] == where[1][j]
-        kept = where[0][i, same.argmax(axis=1)] == bucket
-        i, j = i[kept], j[kept]
-        order = np.argsort(-(a[i] == b[j]).sum(axis=1), kind="stable")
+    own = named.select("node", "component", "bucket").join(mixed, "bucket")
+    fields = ("node", "n_shingles", "component", "buckets", "sketch")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for bucket, these, others in zip(*batch.columns):
+                x, y = these.values, others.values
+                i, j = _not_ruled_out(bucket.as_py(), x, y, settings)
+                seen = np.unique(np.concatenate([np.asarray(x.field("node"))[i], np.asarray(y.field("node"))[j]]))
+                found.append((bucket.as_py(), seen))
+            buckets = np.repeat(np.array([b for b, _ in found], dtype=np.int64), [len(n) for _, n in found])
+            seen = np.concatenate([n for _, n in found]) if found else np.array([], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(seen, pa.int64())], names=["bucket", "node"])
+
+    met = _meetings(written(_placed(own.join(nodes, "node"), F.struct(*fields)), "sketch-blocks"))
+    left = written(met.mapInArrow(sketches, "bucket long, node long").distinct(), "not-ruled-out")
+    again = written(own.drop("size", "most", "parts").join(left, ["bucket", "node"]), "to-confirm")
+    sizes = again.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if(F.col("component") == F.col("major")).alias("most"))
+    whole = nodes.join(again.select("node").distinct(), "node", "left_semi").join(texts, "node")
+    whole = again.join(sizes, "bucket").join(whole, "node")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [link for bucket, these, others in zip(*batch.columns) for link in links(bucket.as_py(), these.values, others.values)]
+            yield pa.RecordBatch.from_arrays([pa.array([link[i] for link in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def links(bucket: int, x: pa.StructArray, y: pa.StructArray) -> list[tuple[int, int]]:
+        node, part = ([np.asarray(s.field(f)) for s in (x, y)] for f in ("node", "component"))
         sets: dict[tuple[int, int], np.ndarray] = {}
 
         def of(side: int, at: int) -> np.ndarray:
@@ -343,19 +390,32 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Data
             return sets[side, at]
 
         linked, parts = [], _Parts()
-        for p, q in zip(i[order].tolist(), j[order].tolist()):
+        i, j = _not_ruled_out(bucket, x, y, settings)
+        for p, q in zip(i.tolist(), j.tolist()):
             one, other = int(part[0][p]), int(part[1][q])
             if parts.of(one) != parts.of(other) and _is_link(of(0, p), of(1, q), settings):
                 parts.join(one, other)
                 linked.append((int(node[0][p]), int(node[1][q])))
         return linked
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [link for bucket, these, others in zip(*batch.columns) for link in meet(bucket.as_py(), these.values, others.values)]
-            yield pa.RecordBatch.from_arrays([pa.array([link[i] for link in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    placed = written(_placed(whole, F.struct(*fields, "packed")), "text-blocks")
+    return _meetings(placed).mapInArrow(confirm, "a long, b long").distinct()
 
-    return meetings.mapInArrow(run, "a long, b long").distinct()
+
+def _smallest_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node`` and the ``least`` row of its component, for nodes with links; ``rows`` holds
+    ``node`` and its ``row``.
+
+    Components with more than a thousandth of these nodes, fewer than a thousand, are sent to every
+    task; the others are joined by component.
+    """
+    linked = written(rows.join(labels, "node"), "linked-nodes")
+    roots = written(linked.groupBy("component").agg(F.min("row").alias("least"), F.count("*").alias("n")), "component-rows")
+    many = max(LARGE, linked.count() // 1000)
+    large = roots.where(F.col("n") > many).select("component", F.col("least").alias("known"))
+    told = linked.join(F.broadcast(large), "component", "left")
+    others = told.where("known is null").join(roots.where(F.col("n") <= many), "component")
+    return told.where("known is not null").select("node", F.col("known").alias("least")).unionByName(others.select("node", "least"))
 
 
 # --------------------------------------------------------------------------------------------
@@ -411,8 +471,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     if not across.isEmpty():
         labels = components(links.unionByName(across))
 
-    least = _labelled(signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "content")).alias("row")), labels, "node", "component")
-    least = least.join(least.groupBy(F.col("component").alias("of")).agg(F.min("row").alias("least")), F.col("component") == F.col("of"))
+    rows = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "content")).alias("row"))
+    rows = written(rows, "node-rows")
+    least = rows.join(_smallest_rows(rows, labels), "node", "left").select("node", F.coalesce("least", "row").alias("least"))
     least = least.select(F.col("node").alias("of_node"), F.col("least.key").alias("component_id"), F.col("least.content").alias("first_content"))
     joined = signed.select("key", "content", "n_shingles", "node").join(least, (F.col("node") == F.col("of_node")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
