@@ -87,19 +87,16 @@ def shared_lines(docs: DataFrame, least_texts: int, share: float) -> DataFrame:
     Different documents are different texts: a text that was copied is one document here, so
     copies do not make their own lines suspicious.
     """
-    texts = docs.groupBy("host", "content").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
-    per_host = texts.groupBy("host").agg(F.count("*").alias("texts")).select(F.col("host").alias("of_host"), "texts")
     keys = F.array_distinct(F.transform(F.split("text", "\n"), line_key))
     # The same text gives the same rows here, so they merge before the shuffle where they can.
     lines = docs.select("host", "content", "id", F.explode(keys).alias("line")).where(F.col("line") != line_key(F.lit("")))
     per_text = lines.groupBy("host", "line", "content").agg(F.min("id").alias("id"))
-    counted = per_text.groupBy("host", "line").agg(F.count("*").alias("held"), F.min("id").alias("first"))
-    return (
-        counted.where(F.col("held") > least_texts)
-        .join(per_host, F.col("host").eqNullSafe(F.col("of_host")))
-        .where(F.col("held") > share * F.col("texts"))
-        .select("host", "line", "first")
-    )
+    counted = per_text.groupBy("host", "line").agg(F.count("*").alias("held"), F.min("id").alias("first")).where(F.col("held") > least_texts)
+    if share:
+        texts = docs.groupBy("host", "content").agg(F.min("id").alias("id"))
+        per_host = texts.groupBy("host").agg(F.count("*").alias("texts")).select(F.col("host").alias("of_host"), "texts")
+        counted = counted.join(per_host, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("held") > share * F.col("texts"))
+    return counted.select("host", "line", "first")
 
 
 def apply_rules(

@@ -115,8 +115,7 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (
 line AS (SELECT doc_id, source, t, unnest(ls) AS line FROM w),
 keyed AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line),
 held AS (SELECT source, k, count(DISTINCT t) AS held, min(doc_id) AS first FROM keyed WHERE k <> '' GROUP BY source, k),
-hosts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
-shared AS (SELECT held.source, k, first FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held > 20 AND held > 0.1 * texts),
+shared AS (SELECT source, k, first FROM held WHERE held > 20),
 removed AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+'))) AS n
   FROM keyed JOIN shared ON keyed.k = shared.k AND keyed.source IS NOT DISTINCT FROM shared.source WHERE doc_id <> first GROUP BY doc_id),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM keyed WHERE k <> '' GROUP BY doc_id),
@@ -132,7 +131,7 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS b FROM co
 
 @query("op10_quality_rules", OP10_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.apply_rules(table(spark, sf_dir, "documents"))
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"), share=0.0)
     return judged.drop("cleaned", "n_removed_words")
 
 

@@ -118,7 +118,7 @@ def plain_quality(rows, least_texts, share, depleted):
     return out
 
 
-@pytest.mark.parametrize("limits", [(1, 0.1, 0.2), (1, 0.05, 0.95), (20, 0.1, 0.2)])
+@pytest.mark.parametrize("limits", [(1, 0.1, 0.2), (1, 0.0, 0.2), (1, 0.05, 0.95), (20, 0.1, 0.2)])
 def test_quality(awkward, awkward_rows, limits):
     least_texts, share, depleted = limits
     got = quality.apply_rules(awkward, least_texts=least_texts, share=share, depleted=depleted)
