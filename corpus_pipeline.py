@@ -71,8 +71,8 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: Seeded hashes and learned merges are not SQL. The operator of each stage is tested against brute
-#: force; the rows of run() as a whole are not yet compared with anything.
+#: Seeded hashes and learned merges are not SQL; the rows of run() are compared with the same five
+#: stages in plain Python instead (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
