@@ -19,7 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from panelwise.functions.columns import nan_as_null
 from panelwise.operators.joins import survey_join
+from panelwise.sources.folders import arrow_store as _store
 from panelwise.sources.studies import find_files
 from panelwise.vocabulary import KEY, SURVEY_FILES
 
@@ -123,18 +123,6 @@ def _row_count(size: int, begin: int, width: int, tail: bytes) -> int:
 # files
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str] | None:
-    """The store of a path or URI, and the path in it; None if only Spark can open it."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    if "://" not in path:
-        return fs.LocalFileSystem(), path
-    try:
-        return fs.FileSystem.from_uri(path)
-    except (pa.ArrowException, OSError):
-        return None
-
-
 @dataclass(frozen=True)
 class _Range(InputPartition):
     """Rows of one file: where they begin, their number, and the file's columns."""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -131,3 +136,50 @@ def test_regression_and_edges(spark, table):
         NetworkEstimator("id", NetworkSettings(2)).fit(df.where("id < 0"))
     one = NetworkEstimator("id", NetworkSettings(2, hidden=(3,), epochs=1)).fit(df.where("label < 2").limit(1))
     assert one.transform(df).count() == len(x)
+
+
+def test_many_steps_take_no_second_each(table):
+    """Some 30 exchanges of gradients; Spark's own exchange would take a second for each."""
+    _, _, df = table
+    s = NetworkSettings(3, hidden=(4,), batch=8, epochs=1, task_rows=150, most_steps=50)
+    NetworkEstimator("id", replace(s, batch=1000)).fit(df)
+    begin = time.monotonic()
+    model = NetworkEstimator("id", s).fit(df)
+    assert model.history[0][0] > 0
+    assert time.monotonic() - begin < 15
+
+
+def test_messages_are_added_in_the_order_of_tasks(tmp_path):
+    """Tasks that run at their own pace all get the same sums; files that all have read are deleted."""
+    tasks, steps = 3, 20
+    meet, asked, values = Barrier(tasks), [], np.random.default_rng(1).normal(size=(steps, tasks, 5))
+
+    class Context:
+        def __init__(self, task):
+            self.task = task
+
+        def partitionId(self):  # noqa: N802
+            return self.task
+
+        def taskAttemptId(self):  # noqa: N802
+            return 10 + self.task
+
+        def allGather(self, message):  # noqa: N802
+            asked.append(message)
+            meet.wait()
+            return ["10", "11", "12"]
+
+    def work(task):
+        exchange = networks._Exchange(Context(task), f"file://{tmp_path}/steps")
+        sums = []
+        for step in range(steps):
+            time.sleep(0.002 * ((task + step) % 3))
+            sums.append(exchange.total(values[step, task]))
+        return np.array(sums)
+
+    with ThreadPoolExecutor(tasks) as pool:
+        found = list(pool.map(work, range(tasks)))
+    expected = values[:, 0] + values[:, 1] + values[:, 2]
+    assert all(np.array_equal(f, expected) for f in found)
+    assert len(asked) == tasks
+    assert len(list((tmp_path / "steps").iterdir())) <= tasks
