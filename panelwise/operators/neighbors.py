@@ -7,6 +7,10 @@ MapReduce", VLDB 2012). Both sides of a cell are then cut into blocks of bounded
 pair of blocks keeps only its k best candidates per row. Nothing is dropped: all candidates that
 can be among the k nearest are compared.
 
+Where the cells spare few pairs (with many dimensions they spare none), rows are not sent by cell:
+both sides are cut into a few blocks of up to ``BLOCK_BYTES``, so that a row is sent as often as there
+are such blocks of the other side, and not once for every couple of thousand rows.
+
 Within a pair of blocks of many dimensions a product of matrices finds the few pairs whose distances
 are then computed from the vectors themselves (``bounded_search``).
 
@@ -27,6 +31,9 @@ from pyspark.sql import window as W
 
 BLOCK_ROWS = 2_000
 MAX_PIVOTS = 8_192
+FEW_BLOCKS = 5  # of each side, as long as they hold no more than BLOCK_BYTES
+BLOCK_BYTES = 32 << 20
+SPARED = 0.75  # cells are given up if they spare a smaller share of the pairs
 MANY_DIMENSIONS = 8  # from here on distances are found by a product of matrices first
 _SLICE = 4_000_000  # doubles in one distance slice
 
@@ -57,10 +64,8 @@ def nearest_neighbors(
     the rows when only their neighbours are wanted.
     """
     spark = points.sparkSession
-    pts = points.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = pts if queries is None else queries.select(
-        F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")
-    )
+    pts = _points(points, key, vector)
+    asked = pts if queries is None else _points(queries, key, vector)
     copies = W.Window.partitionBy("v").orderBy("id")
     kept = (
         pts.select("*", F.row_number().over(copies).alias("copy"))
@@ -90,11 +95,14 @@ def nearest_neighbors(
                 far[start : start + len(d)] = np.sqrt(d[np.arange(len(d)), best])
             yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "cell": cell, "far": far})
 
-    placed_schema = "id bigint, v array<double>, cell int, far double"
-    placed = kept.mapInPandas(place, placed_schema)
+    def placed_in(df: DataFrame) -> DataFrame:
+        return df.mapInPandas(place, f"id bigint, v {dict(df.dtypes)['v']}, cell int, far double")
+
+    placed = placed_in(kept)
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
-    reach = _reach(pivots, {r["cell"]: (r["n"], r["far"]) for r in stats}, k)
-    asked_placed = asked.mapInPandas(place, placed_schema)
+    cells = {r["cell"]: (r["n"], r["far"]) for r in stats}
+    reach = _reach(pivots, cells, k)
+    asked_placed = placed_in(asked)
     asked_stats = {
         r["cell"]: (r["n"], r["far"])
         for r in asked_placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
@@ -105,30 +113,59 @@ def nearest_neighbors(
         limits[cell] = (2 * far + reach[cell]) * (1 + 1e-9) + 1e-9
     shared_limits = spark.sparkContext.broadcast(limits)
 
+    def count(batches):
+        centers, limit = shared.value, shared_limits.value
+        total = np.zeros(len(centers), dtype=np.int64)
+        for batch in batches:
+            for _, d in _distances(_matrix(batch["v"]), centers):
+                total += (np.sqrt(d) <= limit[None, :]).sum(axis=0)
+        yield pd.DataFrame({"cell": np.arange(len(centers), dtype=np.int32), "n": total})
+
+    counted = kept.select("v").mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    sent_sizes = {r["cell"]: r["n"] for r in counted.collect()}
+    n_asked, n_kept = (sum(m for m, _ in sizes.values()) for sizes in (asked_stats, cells))
+    met = sum(m * sent_sizes.get(cell, 0) for cell, (m, _) in asked_stats.items())
+    if met > (1 - SPARED) * n_asked * n_kept:
+        most = max(block_rows, BLOCK_BYTES // (8 * pivots.shape[1] + 128))  # a row is an object of its own in pandas
+        ask_blocks, have_blocks = ([max(1, min(FEW_BLOCKS, -(-m // block_rows)), -(-m // most))] for m in (n_asked, n_kept))
+        one = F.lit(0).alias("cell")
+        return _ranked(_paired(asked.select("id", "v", one), kept.select("id", "v", one), ask_blocks, have_blocks, k), key, k)
+
     def send(batches):
         centers, limit = shared.value, shared_limits.value
         for batch in batches:
             vectors = _matrix(batch["v"])
             ids = batch["id"].to_numpy()
             for start, d in _distances(vectors, centers):
-                rows, cells = np.nonzero(np.sqrt(d) <= limit[None, :])
+                rows, near = np.nonzero(np.sqrt(d) <= limit[None, :])
                 for at in range(0, len(rows), 10_000):
                     chosen = rows[at : at + 10_000] + start
                     yield pd.DataFrame(
                         {
                             "id": ids[chosen],
                             "v": batch["v"].to_numpy()[chosen],
-                            "cell": cells[at : at + 10_000].astype(np.int32),
+                            "cell": near[at : at + 10_000].astype(np.int32),
                         }
                     )
 
-    sent = kept.mapInPandas(send, "id bigint, v array<double>, cell int")
-    sent_sizes = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
+    sent = kept.mapInPandas(send, f"id bigint, v {dict(kept.dtypes)['v']}, cell int")
     ask_blocks = [
         max(1, math.ceil(asked_stats.get(i, (0, 0))[0] / block_rows)) for i in range(len(pivots))
     ]
     have_blocks = [max(1, math.ceil(sent_sizes.get(i, 0) / block_rows)) for i in range(len(pivots))]
 
+    return _ranked(_paired(asked_placed.drop("far"), sent, ask_blocks, have_blocks, k), key, k)
+
+
+def _points(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Ids and vectors; floats stay floats until they are compared, as they take half the bytes."""
+    kind = "array<float>" if dict(df.select(F.col(vector).alias("v")).dtypes)["v"] == "array<float>" else "array<double>"
+    return df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast(kind).alias("v"))
+
+
+def _paired(asked: DataFrame, rows: DataFrame, ask_blocks: list[int], have_blocks: list[int], k: int) -> DataFrame:
+    """The candidates of every pair of a block of queries and a block of rows, by cell."""
+
     def blocks(df: DataFrame, own: list[int], other: list[int], own_name: str, other_name: str) -> DataFrame:
         count = F.get(F.lit(own), F.col("cell"))
         against = F.get(F.lit(other), F.col("cell"))
@@ -140,12 +177,11 @@ def nearest_neighbors(
             F.explode(F.sequence(F.lit(0), against - 1)).alias(other_name),
         )
 
-    left = blocks(asked_placed.drop("far"), ask_blocks, have_blocks, "a", "b")
-    right = blocks(sent, have_blocks, ask_blocks, "b", "a")
-
+    left = blocks(asked, ask_blocks, have_blocks, "a", "b")
+    right = blocks(rows, have_blocks, ask_blocks, "b", "a")
     by = ["cell", "a", "b"]
     pairs = left.groupBy(*by).cogroup(right.groupBy(*by))
-    return _ranked(pairs.applyInPandas(_compare(k), _CANDIDATES), key, k)
+    return pairs.applyInPandas(_compare(k), _CANDIDATES)
 
 
 _CANDIDATES = "id bigint, other bigint, d2 double"

@@ -156,6 +156,18 @@ def test_neighbors_of_some_rows(spark):
     assert {(r["id"], r["neighbor"], r["neighbor_rank"]) for r in got.collect()} == wanted
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_cells_that_spare_nothing_are_given_up(spark, monkeypatch, kind):
+    """Without near and far, each row is sent a few times, not once for every 15 rows."""
+    cut, paired = [], neighbors._paired
+    monkeypatch.setattr(neighbors, "_paired", lambda *a: (cut.append(a[2:4]), paired(*a))[1])
+    values = np.random.default_rng(3).normal(size=(300, 20)).round(2).astype("float32").astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(values)], f"id bigint, v array<{kind}>").repartition(4)
+    got = neighbors.nearest_neighbors(df, "id", "v", 4, block_rows=15)
+    assert {(r["id"], r["neighbor"], r["neighbor_rank"]) for r in got.collect()} == brute_force(dict(enumerate(values)), 4)
+    assert cut == [([neighbors.FEW_BLOCKS], [neighbors.FEW_BLOCKS])]
+
+
 def test_fewer_rows_than_neighbors(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id bigint, v array<double>")
     got = neighbors.nearest_neighbors(df, "id", "v", 5).collect()
