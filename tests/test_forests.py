@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelwise.operators import explain, prepare
-from panelwise.operators.forests import Flat, Forest, Growth, ForestEstimator, grow_forest, grow_subtree, root_path
+from panelwise.operators.forests import Flat, Forest, Growth, ForestEstimator, grow_forest, grow_subtree, in_order, root_path
 
 ALONE = dict(trees=1, bootstrap=False)
 
@@ -81,6 +84,26 @@ def test_subtree_is_the_exact_tree(classes, limits):
         check_tree(listed(found), x, y, w, growth)
 
 
+def test_memory_of_a_subtree():
+    """Beside its matrix a task holds the order of the rows by each feature, in 4 bytes a row, and
+    the nodes as arrays."""
+    r = np.random.default_rng(0)
+    x, y = r.normal(size=(10_000, 64)), r.integers(0, 3, 10_000).astype(float)
+    tracemalloc.start()
+    try:
+        grow_subtree(x, y, np.ones(len(y)), root_path(0, Growth(3)), 0, Growth(3, features=8))
+        assert tracemalloc.get_traced_memory()[1] < 1.25 * x.nbytes
+    finally:
+        tracemalloc.stop()
+
+
+def test_vectors_in_order():
+    x = np.random.default_rng(1).normal(size=(7, 3))
+    order = np.array([6, 0, 3, 1, 5, 2, 4])
+    column = pa.chunked_array([pa.array(list(x[a:b]), pa.list_(pa.float64())) for a, b in ((0, 2), (2, 2), (2, 7))])
+    assert np.array_equal(in_order(column, order), x[order])
+
+
 def test_no_limit_of_depth():
     """A chain: each split takes one row off, 200 levels deep."""
     n = 200
