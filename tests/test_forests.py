@@ -10,7 +10,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from panelwise.operators import explain, prepare
+from panelwise.operators import explain, forests, prepare
 from panelwise.operators.forests import Flat, Forest, Growth, ForestEstimator, grow_forest, grow_subtree, in_order, root_path
 
 ALONE = dict(trees=1, bootstrap=False)
@@ -218,3 +218,34 @@ def test_edges(spark):
     assert grow_forest(missing, "id", Growth(2, **ALONE)).transform(same).first()["prediction"] == 1.0
     flat = Flat.of(forest.nodes.toArrow())
     assert np.allclose(flat.mean(np.ones((2, 2))), [[2 / 3, 1 / 3]] * 2)
+
+
+def test_gains_of_tried_features_only(monkeypatch):
+    """A root that looks at one of eight features computes the gains of its 399 split points only."""
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(400, 8)), r.integers(0, 2, 400).astype(float)
+    real, scored = forests.score, []
+    monkeypatch.setattr(forests, "score", lambda sums, classes: scored.append(len(sums)) or real(sums, classes))
+    grown = forests.grow_subtree(x, y, np.ones(400), np.uint64(1), 0, forests.Growth(2, max_depth=1, features=1))
+    assert len(grown["left"]) == 3
+    assert sum(scored) <= 2 * 399 + 1
+
+
+def test_few_and_many_intervals(spark, monkeypatch):
+    """Histograms held as a table of all cells, and as pairs, give the same upper nodes."""
+    r = np.random.default_rng(4)
+    cells = [(i, float(a > 0.2), 1.0 + i % 2, float(a), float(b)) for i, (a, b) in enumerate(r.normal(size=(500, 2)).round(2))]
+    df = prepare.assemble(spark.createDataFrame(cells, "id bigint, label double, weight double, a double, b double").repartition(3), ["a", "b"])
+    growth = forests.Growth(2, trees=4, features=1, task_rows=60)
+    few = forests.grow_forest(df, "id", growth).tops
+    monkeypatch.setattr(forests, "HELD_CELLS", 1)
+    many = forests.grow_forest(df, "id", growth).tops
+    for a, b in zip(few, many):
+        assert (a.feature, a.threshold, a.left, a.rows) == (b.feature, b.threshold, b.left, b.rows)
+    assert any(len(t.feature) > 3 for t in few)
+
+
+def test_node_values_without_lists():
+    column = pa.chunked_array([pa.array([[1.0, 2.0], None], pa.list_(pa.float64())), pa.array([[], [3.0, 4.0]], pa.list_(pa.float64()))])
+    assert forests.node_values(column).tolist() == [[1.0, 2.0], [0.0, 0.0], [0.0, 0.0], [3.0, 4.0]]
+    assert forests.node_values(column.slice(1, 2)).tolist() == [[0.0], [0.0]]
