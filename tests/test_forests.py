@@ -245,6 +245,69 @@ def test_few_and_many_intervals(spark, monkeypatch):
     assert any(len(t.feature) > 3 for t in few)
 
 
+def splits(forest):
+    """Every tree as nested tuples: feature, threshold, rows and both sides, or the rows of a leaf."""
+    flat = Flat.of(forest.nodes.toArrow())
+
+    def below(i):
+        if flat.left[i] < 0:
+            return tuple(flat.value[i].round(9))
+        return int(flat.feature[i]), float(flat.threshold[i]), below(flat.left[i]), below(flat.right[i])
+
+    return [below(root) for root in flat.roots]
+
+
+@pytest.mark.parametrize(("classes", "limits"), [(None, {"features": 2}), (2, {"features": 1, "min_leaf": 3}), (3, {"max_depth": 4, "min_leaf": 40})])
+def test_splits_do_not_depend_on_size(spark, monkeypatch, classes, limits):
+    """Values that cut points do not tell apart: a table over the limit of a task grows the same trees."""
+    monkeypatch.setattr(forests, "FEW_CUTS", 7)
+    r = np.random.default_rng(11)
+    x = np.stack([r.normal(size=512), r.integers(0, 9, 512), np.exp(r.normal(size=512)), np.where(r.random(512) < 0.98, 1.0, r.random(512))], axis=1)
+    part = (x[:, 0] > 0.3).astype(int) + (x[:, 2] > 1.1) * (x[:, 1] > 3) + (r.random(512) < 0.2)
+    label = part * 8.0 + r.integers(0, 3, 512) if classes is None else part % classes
+    df = frame(spark, x, label, r.integers(1, 4, 512) if classes is None else np.array([0.7, 1 / 3, 2.2])[label.astype(int)])
+    growth = dict(trees=3, **limits)
+    whole = grow_forest(df, "id", Growth(classes, **growth))
+    cut = grow_forest(df, "id", Growth(classes, task_rows=90, **growth))
+    assert sum(len(t.feature) for t in cut.tops) > sum(len(t.feature) for t in whole.tops) == 3
+    assert splits(cut) == splits(whole)
+    monkeypatch.setattr(forests, "HELD_CELLS", 1)
+    assert splits(grow_forest(df, "id", Growth(classes, task_rows=90, **growth))) == splits(whole)
+
+
+@pytest.mark.parametrize("classes", [None, 2, 5])
+def test_bound_of_an_interval(classes):
+    """No order of an interval's rows has a split that gains more than the bound, which is tight
+    enough to leave out most intervals."""
+    r = np.random.default_rng(2)
+    left_out = 0
+    for _ in range(60):
+        y = r.normal(size=400) if classes is None else r.integers(0, classes, 400).astype(float)
+        y = np.sort(y) if r.random() < 0.5 else y
+        sums = forests.row_sums(y, r.integers(1, 4, 400).astype(float), classes)
+        total, ends = sums.sum(axis=0), np.arange(0, 401, 20)
+        known = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0)])[ends]
+        bound = forests.most_inside(known[:-1], known[1:], total, classes)
+        best = max(forests.score(known[1:-1], classes) + forests.score(total - known[1:-1], classes))
+        left_out += (bound < best).sum()
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            for order in (r.permutation(20), np.argsort(y[a:b]), np.argsort(-y[a:b])):
+                left = known[i] + np.cumsum(sums[a:b][order], axis=0)[:-1]
+                assert (forests.score(left, classes) + forests.score(total - left, classes) <= bound[i] * (1 + 1e-9)).all()
+    assert left_out > 300
+
+
+def test_many_equal_values_and_none_apart(spark):
+    """A node over the limit whose values are all equal ends; one other value is found among many."""
+    x = np.ones((90, 2))
+    x[7, 1] = 1.5
+    y = np.zeros(90)
+    y[[7, 8]] = 1.0
+    forest = grow_forest(frame(spark, x, y), "id", Growth(2, **ALONE, task_rows=10))
+    top = forest.tops[0]
+    assert (top.feature, top.threshold[0], top.rows, top.done[1]) == ([1, -1, -1], 1.25, [90, 89, 1], True)
+
+
 def test_node_values_without_lists():
     column = pa.chunked_array([pa.array([[1.0, 2.0], None], pa.list_(pa.float64())), pa.array([[], [3.0, 4.0]], pa.list_(pa.float64()))])
     assert forests.node_values(column).tolist() == [[1.0, 2.0], [0.0, 0.0], [0.0, 0.0], [3.0, 4.0]]
