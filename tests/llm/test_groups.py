@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -222,6 +223,44 @@ def test_top_k_of_few_and_nothing(spark):
     assert topk.exact_top_k(one, F.lit(False), 5).count() == 0
 
 
+def test_top_k_sends_few_entries(spark, monkeypatch):
+    """What leaves the meetings are k entries per query and block, not a share of all pairs."""
+    draw = np.random.default_rng(6)
+    rows = [(int(i), draw.normal(size=12).tolist()) for i in range(3000)]
+    tables, real = {}, topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    assert topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(2), F.col("vec_id") % 50 == 0, 5).count() == 300
+    blocks = tables["candidate-blocks"].count()
+    assert tables["local-lists"].select(F.sum(F.size("ids"))).first()[0] <= 5 * 60 * blocks
+    assert tables["entries"].count() <= 5 * 60 * blocks
+
+
+@pytest.mark.parametrize("lists", [1, 2, 3])
+def test_top_k_tiles(monkeypatch, lists):
+    """A meeting of many tiles, with ties, keys that repeat and queries among the candidates."""
+    monkeypatch.setattr(topk, "TILE_QUERIES", 7)
+    monkeypatch.setattr(topk, "TILE_CANDIDATES", 11)
+    draw = np.random.default_rng(lists)
+    ids, rows = draw.integers(0, 60, 100), np.floor(draw.normal(size=(100, 6)) * 3)
+    asking, vectors = np.append(draw.integers(0, 60, 20), [1000, 1000]), np.floor(draw.normal(size=(22, 6)) * 3)
+    queries = pa.array([[{"id": int(i), "vector": v.tolist()} for i, v in zip(asking, vectors)]])
+    m = topk._Meeting(pa.scalar(ids.astype(np.int64).tobytes()), pa.scalar(rows.tobytes()), queries[0], 6, lists)
+    cuts = np.linspace(0, 6, lists + 1).astype(int)
+    lowest, of, found, scores = m.best_of_lists(5)
+    assert np.array_equal(lowest, np.stack([(vectors[:, a:b] @ rows[:, a:b].T).min(axis=1) for a, b in zip(cuts, cuts[1:])], axis=1))
+    for cutoff in (-np.inf, 4.0):
+        row, key, total = m.reaching(5, lowest, np.full(22, cutoff))
+        for q in range(22):
+            best = {}
+            for i, v in zip(ids, rows):
+                if i != asking[q] and vectors[q] @ v >= cutoff:
+                    best[int(i)] = max(best.get(int(i), -np.inf), float(vectors[q] @ v))
+            assert sorted(zip(key[row == q].tolist(), total[row == q].tolist())) == sorted(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])
+            if cutoff == -np.inf:
+                assert all(s <= best[i] for i, s in zip(found[of == q].tolist(), scores[of == q]))
+                assert 0 < (of == q).sum() <= 5 and len(set(found[of == q])) == (of == q).sum()
+
+
 # --------------------------------------------------------------------------------------------
 # archives
 
